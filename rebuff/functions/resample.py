@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rebuff.functions.distributed import exact_quantiles, number_units
 from rebuff.functions.expressions import draw
+from rebuff.session import materialize
 
 SEED = 42
 REPLICATES = 2000
@@ -21,7 +22,9 @@ def resample(units: DataFrame, key: str, by: Sequence[str] = (), reps: int = REP
     """
     by = list(by)
     u = number_units(units, key, by)
-    draws = (u.select(*by, F.col("idx").alias("_j"), "n_units")
+    spread = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A small table of units becomes reps x units draws, so it is spread before it grows.
+    draws = (u.select(*by, F.col("idx").alias("_j"), "n_units").repartition(spread, "_j")
              .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
              .withColumn("idx", draw(seed, F.col("n_units"), *by, "rep", "_j"))
              .select(*by, "rep", "idx"))
@@ -43,7 +46,7 @@ def mean_intervals(units: DataFrame, key: str, value: str, by: Sequence[str] = (
                    seed=SEED) -> DataFrame:
     """Mean and percentile interval of resampled means, over the units with a value."""
     by = list(by)
-    u = units.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("_x"))
+    u = materialize(units.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("_x")))
     point = u.groupBy(*by).agg(F.avg("_x").alias("mean"), F.count("_x").alias("n"))
     reps_ = resample(u, key, by, reps, seed).groupBy(*by, "rep").agg(F.avg("_x").alias("stat"))
     ci = reps_.groupBy(*by).agg(*interval())
@@ -55,8 +58,8 @@ def mean_difference(units: DataFrame, key: str, value: str, arm: str, a: str, b:
     """Mean of arm ``a`` minus mean of arm ``b`` with a percentile interval; NULL below ``min_n``
     units in either arm."""
     by = list(by)
-    u = (units.where(F.col(value).isNotNull() & F.col(arm).isin(a, b))
-         .select(*by, key, F.col(arm).alias("_arm"), F.col(value).cast("double").alias("_x")))
+    u = materialize(units.where(F.col(value).isNotNull() & F.col(arm).isin(a, b))
+                    .select(*by, key, F.col(arm).alias("_arm"), F.col(value).cast("double").alias("_x")))
     def pick(name, fn, col="_x"):
         return fn(F.when(F.col("_arm") == name, F.col(col)))
     point = u.groupBy(*by).agg(pick(a, F.avg).alias("mean_a"), pick(b, F.avg).alias("mean_b"),
@@ -77,7 +80,7 @@ def median_intervals(units: DataFrame, key: str, value: str, by: Sequence[str] =
                      seed=SEED, min_n: int = 5) -> DataFrame:
     """Median and percentile interval of resampled medians; NULL below ``min_n`` units."""
     by = list(by)
-    u = units.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("_x"))
+    u = materialize(units.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("_x")))
     point = exact_quantiles(u, "_x", {"median": 0.5}, by)
     med = exact_quantiles(resample(u, key, by, reps, seed), "_x", {"stat": 0.5}, [*by, "rep"])
     ci = med.groupBy(*by).agg(*interval())

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rebuff.functions.expressions import safe_div, shift_frame, solve3
 from rebuff.functions.resample import REPLICATES, interval, resample
 from rebuff.operators import events
+from rebuff.session import materialize
 
 MIN_DAYS = 20
 W = 5
@@ -225,6 +226,7 @@ def trajectory_difference(agent: DataFrame, lead: int = LEAD) -> DataFrame:
 
 def event_time_study(agent: DataFrame, lead: int = LEAD, reps: int = REPLICATES) -> DataFrame:
     """Per offset: arm means over agents, their difference and its percentile band."""
+    agent = materialize(agent)
     cols = [f"d_{k}" for k in range(2 * lead + 1)]
     band = (trajectory_replicates(agent, lead, reps).unpivot(["rep"], cols, "k", "stat")
             .groupBy("k").agg(*interval(lo="diff_lo", hi="diff_hi")))
@@ -246,6 +248,7 @@ def pretrend_test(agent: DataFrame, lead: int = LEAD, reps: int = REPLICATES,
                   spans: Sequence[tuple[str, int, int]] = (("near", -5, -1), ("far", -10, -6))) -> DataFrame:
     """Slope of the arm difference over pre-event spans with its interval, and the number of
     offsets whose band excludes zero. Least squares on fixed offsets is a weighted sum of columns."""
+    agent = materialize(agent)
     obs, rep = trajectory_difference(agent, lead), trajectory_replicates(agent, lead, reps)
     wide_o = obs.select(*[_slope(a, b, lead).alias(f"s_{n}") for n, a, b in spans])
     stats = []
@@ -394,3 +397,101 @@ def robots_engagement(idx: DataFrame, group: str, min_days: int = MIN_DAYS) -> D
         return F.max(F.when(F.col("grp") == g, F.col("pct_ever_robots")))
     ratio = t.agg(safe_div(share("declared"), share("abusive")).alias("declared_over_abusive"))
     return t.crossJoin(F.broadcast(ratio))
+
+
+RESPONSE_FEATURES = ("evasion_index", "ip_ent", "dom_ent", "ctry_ent", "compliance", "request_diversity", "log_hits", "resistance")
+
+
+def event_deltas(active: DataFrame, features: Sequence[str] = RESPONSE_FEATURES, keys: Sequence[str] = ("a_id", "label"),
+                 width: int = W) -> DataFrame:
+    """Agent means of post - pre and of |post - pre| over the agent's own day-to-day noise."""
+    keys = list(keys)
+    d = active if "log_hits" in active.columns else active.withColumn("log_hits", F.log1p("hits"))
+    d = events.flag_pressure_events(d, gap=width, keys=keys)
+    o, all_ = _w(keys), Window.partitionBy(*keys)
+    d = d.withColumns({f"_s_{f}": F.col(f) - F.lag(f).over(o) for f in features})
+    d = d.withColumns({f"_v_{f}": F.stddev_pop(f"_s_{f}").over(all_) for f in features} | {
+        f"d_{f}": window_mean(f, "post", width, keys) - window_mean(f, "pre", width, keys) for f in features})
+    d = d.where(F.col("kept") & events.eligible(width, width))
+    return d.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_events"), *[F.avg(f"d_{f}").alias(f"d_{f}") for f in features],
+        *[F.avg(F.abs(f"d_{f}") / (F.col(f"_v_{f}") + 1e-9)).alias(f"z_{f}") for f in features])
+
+
+def curve_summary(curves: DataFrame, group: str) -> DataFrame:
+    """Pooled mean and standard error per (group, feature, offset)."""
+    return curves.groupBy(group, "feature", "t").agg(
+        F.avg("value").alias("mean"), (F.stddev_pop("value") / F.sqrt(F.count("value"))).alias("sem"), F.count("value").alias("n"))
+
+
+def aligned_profile(idx: DataFrame, group: str, value: str = "robots_rate", spacing: int = 11) -> DataFrame:
+    """Event-aligned profile: agent means first, then population mean, SEM and agent count."""
+    d = full_events(idx.where(F.col("n") >= MIN_DAYS), spacing)
+    c = event_curves(d, "full", [value], ["a_id", group])
+    agent = c.groupBy("a_id", group, "t").agg(F.avg("value").alias("v"))
+    return agent.groupBy(F.col(group).alias("grp"), "t").agg(
+        F.avg("v").alias("mean"), (F.stddev_pop("v") / F.sqrt(F.count("v"))).alias("sem"), F.count("v").alias("n_agents"))
+
+
+def score_events(idx: DataFrame, scores: DataFrame, width: int = W, keys: Sequence[str] = ("a_id", "arm")) -> DataFrame:
+    """Per pressure event: change of an external daily score and of resistance, arithmetic volume ratio."""
+    d = events.flag_pressure_events(idx.join(scores, ["a_id", "date"], "left"), gap=width, keys=keys)
+
+    def change(c):
+        return window_mean(c, "post", width, keys) - window_mean(c, "pre", width, keys)
+    d = d.withColumns({"d_score": change("score"), "d_resistance": change("resistance"),
+                       "vol_ratio": safe_div(window_mean("hits", "post", width, keys), window_mean("hits", "pre", width, keys))})
+    return d.where(F.col("kept") & events.eligible(width, width) & F.col("d_score").isNotNull()).select(
+        "a_id", "arm", "i", "d_score", "d_resistance", "vol_ratio")
+
+
+def pooled_units(ev: DataFrame) -> DataFrame:
+    """Per agent and outcome the sum and number of events: a cluster bootstrap of event-pooled means
+    needs nothing else."""
+    stealth = F.col("vol_ratio") >= 0.5
+    parts = {"score": F.col("d_score"), "score_stealth": F.when(stealth, F.col("d_score")), "resistance": F.col("d_resistance")}
+    agent = ev.groupBy("a_id", "arm").agg(*[x for k, e in parts.items() for x in (F.sum(e).alias(f"s_{k}"), F.count(e).alias(f"k_{k}"))])
+    cells = F.array(*[F.struct(F.lit(k).alias("outcome"), F.col(f"s_{k}").alias("s"), F.col(f"k_{k}").alias("k")) for k in parts])
+    return agent.select("a_id", "arm", F.explode(cells).alias("c")).select("a_id", "arm", "c.*")
+
+
+def pooled_difference(units: DataFrame, a: str = "abusive", b: str = "verified", reps: int = REPLICATES) -> DataFrame:
+    """Event-pooled difference of arm means with an agent-clustered interval, per outcome."""
+    units = materialize(units)
+
+    def arm(name, x):
+        return F.sum(F.when(F.col("arm") == name, F.col(x)))
+    def stat():
+        return arm(a, "s") / arm(a, "k") - arm(b, "s") / arm(b, "k")
+    point = units.groupBy("outcome").agg((arm(a, "s") / arm(a, "k")).alias("mean_a"), (arm(b, "s") / arm(b, "k")).alias("mean_b"),
+                                         stat().alias("did"), arm(a, "k").alias("n_a"), arm(b, "k").alias("n_b"))
+    draws = resample(units, "a_id", ["outcome", "arm"], reps).groupBy("outcome", "rep").agg(stat().alias("stat"))
+    return point.join(draws.groupBy("outcome").agg(*interval()), "outcome", "left")
+
+
+def monthly_observability(obs: DataFrame, group: str) -> DataFrame:
+    """Mean O over agent-days and the number of agents per group and month."""
+    return obs.groupBy(F.col(group).alias("grp"), F.date_format("date", "yyyy-MM").alias("month")).agg(
+        F.avg("o").alias("mean_o"), F.count_distinct("a_id").alias("n_agents"))
+
+
+def monthly_slope(monthly: DataFrame) -> DataFrame:
+    """Least-squares slope per month with and without the last month. A group holds one row per
+    month, so its window is small."""
+    w = Window.partitionBy("grp")
+    d = monthly.withColumn("x", (F.row_number().over(w.orderBy("month")) - 1).cast("double")).withColumn("k", F.count(F.lit(1)).over(w))
+    inner = F.col("x") < F.col("k") - 1
+    t = d.groupBy("grp").agg(
+        F.max("k").alias("n_months"), F.regr_slope("mean_o", "x").alias("slope"),
+        F.regr_slope(F.when(inner, F.col("mean_o")), F.when(inner, F.col("x"))).alias("slope_excluding_last"),
+        F.max("month").alias("last_month"))
+    return t.withColumn("sign_reverses", F.signum("slope") != F.signum("slope_excluding_last"))
+
+
+def variant_units(idx: DataFrame, control: Column, strict: Column, spacing: int = 16) -> DataFrame:
+    """Agent effects under every definition of O, from one pass over the panel."""
+    names = ("base", "maha", "novol", "strict_centroid")
+    d = events.flag_block_events(observability_variants(idx, control, strict), {"kept": spacing})
+    d = d.withColumns({f"d_{v}": frame_mean(f"o_{v}", 1, 5) - frame_mean(f"o_{v}", -10, -6) for v in names})
+    d = d.where(F.col("kept") & events.eligible(LEAD, W))
+    return d.groupBy("a_id", "arm").agg(*[F.avg(f"d_{v}").alias(v) for v in names]).unpivot(["a_id", "arm"], list(names), "variant", "d_o")

@@ -153,3 +153,65 @@ def compose(sql: str, doubles: list[str], extra: dict[str, str], digits: int = 6
         body = f"SELECT * REPLACE ({rep}) FROM ({sql}) AS result_rows"
     head = ",\n".join(f"{n} AS ({known[n]})" for n in order)
     return f"WITH RECURSIVE {head}\n{body}" if order else body
+
+
+def did(name: str, src: str, value: str, a: str = "abusive", b: str = "verified", arm: str = "arm", by: str = "",
+        reps: int = 2000, key: str = "a_id") -> tuple[str, dict[str, str]]:
+    """Final SELECT and CTEs of a two-arm mean difference with a bootstrap interval."""
+    bys = [x.strip() for x in by.split(",") if x.strip()]
+    sel = "".join(f"{x}, " for x in bys)
+    psel = "".join(f"p.{x}, " for x in bys)
+    grp = ("GROUP BY " + ", ".join(bys)) if bys else ""
+    c = {f"{name}_s": f"SELECT {sel}{key}, {arm} AS xarm, {value} AS x FROM {src} WHERE {value} IS NOT NULL AND {arm} IN ('{a}','{b}')"}
+    c |= boot(name, f"{name}_s", key, ", ".join([*bys, "xarm"]), reps)
+    c[f"{name}_m"] = f"SELECT {sel}rep, xarm, avg(x) AS m FROM {name}_d GROUP BY {sel}rep, xarm"
+    c[f"{name}_r"] = f"SELECT {sel}rep, max(m) FILTER (xarm='{a}')-max(m) FILTER (xarm='{b}') AS stat FROM {name}_m GROUP BY {sel}rep"
+    c[f"{name}_c"] = f"SELECT {sel}quantile_cont(stat,0.025) AS lo, quantile_cont(stat,0.975) AS hi FROM {name}_r {grp}"
+    c[f"{name}_p"] = (f"SELECT {sel}avg(x) FILTER (xarm='{a}') AS ma, avg(x) FILTER (xarm='{b}') AS mb, count(x) FILTER (xarm='{a}') AS n_a, "
+                      f"count(x) FILTER (xarm='{b}') AS n_b FROM {name}_s {grp}")
+    on = " AND ".join(f"p.{x}=c.{x}" for x in bys) or "true"
+    ok = "n_a>=5 AND n_b>=5"
+    sql = (f"SELECT {psel}n_a, n_b, CASE WHEN {ok} THEN ma END AS mean_a, CASE WHEN {ok} THEN mb END AS mean_b, CASE WHEN {ok} THEN ma-mb END AS did, "
+           f"CASE WHEN {ok} THEN lo END AS ci_lo, CASE WHEN {ok} THEN hi END AS ci_hi, ({ok} AND (lo>0 OR hi<0)) AS sig FROM {name}_p p LEFT JOIN {name}_c c ON {on}")
+    return sql, c
+
+
+DID_DOUBLES = "mean_a mean_b did ci_lo ci_hi"
+
+
+def mean_ci(name: str, src: str, value: str, by: str = "", reps: int = 2000, key: str = "a_id", stat: str = "avg(x)",
+            point: str | None = None) -> tuple[str, dict[str, str]]:
+    """One-sample statistic with a bootstrap interval: columns by, mean, n, ci_lo, ci_hi."""
+    bys = [x.strip() for x in by.split(",") if x.strip()]
+    sel = "".join(f"{x}, " for x in bys)
+    psel = "".join(f"p.{x}, " for x in bys)
+    grp = ("GROUP BY " + ", ".join(bys)) if bys else ""
+    c = {f"{name}_s": f"SELECT {sel}{key}, {value} AS x FROM {src} WHERE {value} IS NOT NULL"}
+    c |= boot(name, f"{name}_s", key, by, reps)
+    c[f"{name}_r"] = f"SELECT {sel}rep, {stat} AS stat FROM {name}_d GROUP BY {sel}rep"
+    c[f"{name}_c"] = f"SELECT {sel}quantile_cont(stat,0.025) AS ci_lo, quantile_cont(stat,0.975) AS ci_hi FROM {name}_r {grp}"
+    c[f"{name}_p"] = f"SELECT {sel}{point or stat} AS mean, count(x) AS n FROM {name}_s {grp}"
+    on = " AND ".join(f"p.{x}=c.{x}" for x in bys) or "true"
+    return f"SELECT {psel}mean, n, ci_lo, ci_hi FROM {name}_p p JOIN {name}_c c ON {on}", c
+
+
+BASE.update({
+    "rcand": """SELECT a_id, label, i FROM (SELECT *, avg(resistance) OVER w AS m, stddev_pop(resistance) OVER w AS sd,
+      max(abs(resistance-r0)) OVER w AS sp FROM (SELECT *, first_value(resistance) OVER (PARTITION BY a_id,label ORDER BY i) AS r0 FROM active)
+      WINDOW w AS (PARTITION BY a_id,label)) WHERE n>=3 AND sp>1e-8+1e-5*abs(r0) AND m+1.5*sd>0 AND resistance>m+1.5*sd""",
+    "rev5_nx": "SELECT c.a_id, c.label, c.i, min(d.i) AS j FROM rcand c JOIN rcand d ON d.a_id=c.a_id AND d.label=c.label AND d.i>=c.i+5 GROUP BY 1,2,3",
+    "rev5": """SELECT a_id, label, min(i) AS i FROM rcand GROUP BY a_id, label UNION ALL SELECT t.a_id, t.label, x.j FROM rev5 t JOIN rev5_nx x
+      ON x.a_id=t.a_id AND x.label=t.label AND x.i=t.i""",
+    "off21": "SELECT unnest(generate_series(-10,10)) AS t",
+    "off11": "SELECT unnest(generate_series(-5,5)) AS t",
+    "swin": """SELECT *, avg(loghits) OVER p AS pre_lv, avg(loghits) OVER q AS post_lv, avg(o) OVER b AS pre_o, avg(o) OVER q AS post_o, avg(o) OVER p AS near_o,
+      avg(loghits) OVER b AS clean_lv FROM sobs WINDOW p AS (PARTITION BY a_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
+      q AS (PARTITION BY a_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), b AS (PARTITION BY a_id ORDER BY i ROWS BETWEEN 10 PRECEDING AND 6 PRECEDING)""",
+    "sout": """SELECT a_id, arm, pop, i, date, p_block, pre_o, post_o, post_o-pre_o AS d_o, clean_lv, pre_lv, post_lv, exp(post_lv)-1 AS post_v, exp(pre_lv)-1 AS pre_v,
+      NOT (exp(post_lv)-1 < 0.5*(exp(pre_lv)-1)) AS stealth FROM swin JOIN sev16 USING (a_id,i) WHERE i>=10 AND i+5<n AND post_o-pre_o IS NOT NULL""",
+    "sunit": "SELECT a_id, arm, avg(d_o) AS d_o, avg(CASE WHEN stealth THEN d_o END) AS d_o_stealth, count(*) AS n_events FROM sout GROUP BY 1,2",
+    "traj11": """SELECT e.a_id, s.arm, t, avg(s.o-r.o) AS v FROM sev11 e CROSS JOIN off21 JOIN sobs s ON s.a_id=e.a_id AND s.i=e.i+t
+      JOIN sobs r ON r.a_id=e.a_id AND r.i=e.i-6 WHERE e.i>=10 AND e.i+10<s.n AND r.o IS NOT NULL GROUP BY 1,2,3""",
+    "traj16": """SELECT e.a_id, s.arm, t, avg(s.o) AS v FROM sev16 e CROSS JOIN off21 JOIN sobs s ON s.a_id=e.a_id AND s.i=e.i+t
+      WHERE e.i>=10 AND e.i+10<s.n GROUP BY 1,2,3""",
+})

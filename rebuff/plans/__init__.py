@@ -3,7 +3,7 @@ import importlib
 
 from rebuff.plans.registry import ORACLES, QUERIES
 
-for _m in ("panel_queries", "population_queries"):
+for _m in ("panel_queries", "population_queries", "event_queries"):
     importlib.import_module(f"rebuff.plans.{_m}")
 
 __all__ = ["ORACLES", "QUERIES"]

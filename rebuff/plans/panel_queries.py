@@ -166,10 +166,10 @@ def _(v):
     return P.densify_calendar(v.panel, ["hits", "cblock", "c429"])
 
 
-@query("panel_zero_days", """SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM spanel)
-  WHERE CAST(d AS DATE) NOT IN (SELECT date FROM spanel)""")
+@query("panel_zero_days", """SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM panel)
+  WHERE CAST(d AS DATE) IN (SELECT e_day FROM emptydays)""")
 def _(v):
-    return P.panel_zero_days(v.spanel)
+    return P.panel_zero_days(P.drop_downtime(v.panel, v.emptydays))
 
 
 @query("feature_series", f"SELECT a_id, date, day, hits, {', '.join(P.FEATURES)}, cblock, c429 FROM seq14", FEATS)

@@ -5,7 +5,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -22,6 +22,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) ->
     conf = DEFAULTS | {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.driver.host": "127.0.0.1",
     } | extra
@@ -50,3 +51,14 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, one per call."""
     return f"{shared_folder(spark).rstrip('/')}/rebuff/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate result once to the shared folder and read it back.
+
+    Used where one result feeds several branches: the long plan behind it runs once, its real size
+    is known to the optimizer, and a lost executor costs a re-read, not a re-run.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
