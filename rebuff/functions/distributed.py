@@ -25,6 +25,15 @@ def _totals(binned: DataFrame, by: Sequence[str]) -> DataFrame:
                     F.sum("_t").over(w).alias("_total"))
 
 
+def range_bins(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Adds the range number ``_k`` of ``_v``, cut at approximate quantiles of the distinct values."""
+    by = list(by)
+    probs = F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)])
+    bounds = counted.groupBy(*by).agg(F.percentile_approx("_v", probs, F.lit(1000)).alias("_b"))
+    joined = counted.join(F.broadcast(bounds), by) if by else counted.crossJoin(F.broadcast(bounds))
+    return joined.withColumn("_k", F.size(F.filter("_b", lambda x: x < F.col("_v")))).drop("_b")
+
+
 def ranked_values(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """One row per (group, distinct value): ``n`` copies, ``n_before`` smaller ones, ``n_total``.
 
@@ -36,10 +45,7 @@ def ranked_values(df: DataFrame, value: str, by: Sequence[str] = (), weight: str
     counted = (df.where(F.col(value).isNotNull())
                .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(n.cast("long").alias("_n"))
                .where(F.col("_n") > 0))
-    probs = F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)])
-    bounds = counted.groupBy(*by).agg(F.percentile_approx("_v", probs, F.lit(1000)).alias("_b"))
-    joined = counted.join(F.broadcast(bounds), by) if by else counted.crossJoin(F.broadcast(bounds))
-    binned = joined.select(*by, "_v", "_n", F.size(F.filter("_b", lambda x: x < F.col("_v"))).alias("_k"))
+    binned = range_bins(counted, by)
     w = Window.partitionBy(*by, "_k").orderBy("_v")
     within = binned.withColumn("_cum", F.sum("_n").over(w))
     return (within.join(F.broadcast(_totals(binned, by)), [*by, "_k"])

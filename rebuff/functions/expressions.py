@@ -60,15 +60,16 @@ def shift_frame(side: str, width: int):
     return (-width, -1) if side == "pre" else (1, width)
 
 
-def solve3(m: list[list[Column]], v: list[Column]) -> list[Column]:
-    """Closed-form solution of a 3x3 system (Cramer); NULL when singular."""
+def solve(m: list[list[Column]], v: list[Column]) -> list[Column]:
+    """Closed-form solution of a small linear system (Cramer); NULL when singular."""
     def det(a):
-        return (a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1])
-                - a[0][1] * (a[1][0] * a[2][2] - a[1][2] * a[2][0])
-                + a[0][2] * (a[1][0] * a[2][1] - a[1][1] * a[2][0]))
+        if len(a) == 1:
+            return a[0][0]
+        out = None
+        for c, head in enumerate(a[0]):
+            term = head * det([row[:c] + row[c + 1:] for row in a[1:]])
+            out = term if out is None else (out + term if c % 2 == 0 else out - term)
+        return out
     base = det(m)
-    out = []
-    for k in range(3):
-        swapped = [[v[r] if c == k else m[r][c] for c in range(3)] for r in range(3)]
-        out.append(F.when(F.abs(base) > 1e-12, det(swapped) / base))
-    return out
+    size = range(len(m))
+    return [F.when(F.abs(base) > 1e-12, det([[v[r] if c == k else m[r][c] for c in size] for r in size]) / base) for k in size]

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rebuff.functions.expressions import safe_div, shift_frame, solve3
+from rebuff.functions.expressions import safe_div, shift_frame, solve
 from rebuff.functions.resample import REPLICATES, interval, resample
 from rebuff.operators import events
 from rebuff.session import materialize
@@ -311,7 +311,7 @@ def segmented_level_shift(long: DataFrame) -> DataFrame:
          "y": F.sum(v), "ty": F.sum(t * v), "py": F.sum(p * v)}
     m = d.groupBy("a_id", "arm").agg(*[e.alias(f"s_{k}") for k, e in s.items()]).where("s_n >= 6")
     c = {k: F.col(f"s_{k}") for k in s}
-    sol = solve3([[c["n"], c["t"], c["p"]], [c["t"], c["tt"], c["tp"]], [c["p"], c["tp"], c["p"]]], [c["y"], c["ty"], c["py"]])
+    sol = solve([[c["n"], c["t"], c["p"]], [c["t"], c["tt"], c["tp"]], [c["p"], c["tp"], c["p"]]], [c["y"], c["ty"], c["py"]])
     return m.select("a_id", "arm", sol[2].alias("d"))
 
 
@@ -335,7 +335,7 @@ def observability_variants(idx: DataFrame, control: Column, strict: Column) -> D
     y = [(x[k] - F.col(f"xu{k+1}")) / F.col(f"xs{k+1}") for k in range(3)]
     e = [x[k] - F.col(f"u{k+1}") for k in range(3)]
     v = {(a, b): F.col(f"v{min(a, b)}{max(a, b)}") for a in (1, 2, 3) for b in (1, 2, 3)}
-    sol = solve3([[v[(a, b)] for b in (1, 2, 3)] for a in (1, 2, 3)], e)
+    sol = solve([[v[(a, b)] for b in (1, 2, 3)] for a in (1, 2, 3)], e)
     def norm(parts):
         return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
     return d.withColumns({"o_base": norm(z), "o_novol": norm(z[:2]), "o_strict_centroid": norm(y),

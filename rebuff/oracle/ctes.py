@@ -207,7 +207,7 @@ BASE.update({
     "swin": """SELECT *, avg(loghits) OVER p AS pre_lv, avg(loghits) OVER q AS post_lv, avg(o) OVER b AS pre_o, avg(o) OVER q AS post_o, avg(o) OVER p AS near_o,
       avg(loghits) OVER b AS clean_lv FROM sobs WINDOW p AS (PARTITION BY a_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
       q AS (PARTITION BY a_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), b AS (PARTITION BY a_id ORDER BY i ROWS BETWEEN 10 PRECEDING AND 6 PRECEDING)""",
-    "sout": """SELECT a_id, arm, pop, i, date, p_block, pre_o, post_o, post_o-pre_o AS d_o, clean_lv, pre_lv, post_lv, exp(post_lv)-1 AS post_v, exp(pre_lv)-1 AS pre_v,
+    "sout": """SELECT a_id, arm, pop, i, date, p_block, cblock, pre_o, post_o, post_o-pre_o AS d_o, clean_lv, pre_lv, post_lv, exp(post_lv)-1 AS post_v, exp(pre_lv)-1 AS pre_v,
       NOT (exp(post_lv)-1 < 0.5*(exp(pre_lv)-1)) AS stealth FROM swin JOIN sev16 USING (a_id,i) WHERE i>=10 AND i+5<n AND post_o-pre_o IS NOT NULL""",
     "sunit": "SELECT a_id, arm, avg(d_o) AS d_o, avg(CASE WHEN stealth THEN d_o END) AS d_o_stealth, count(*) AS n_events FROM sout GROUP BY 1,2",
     "traj11": """SELECT e.a_id, s.arm, t, avg(s.o-r.o) AS v FROM sev11 e CROSS JOIN off21 JOIN sobs s ON s.a_id=e.a_id AND s.i=e.i+t
