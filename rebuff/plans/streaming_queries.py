@@ -42,7 +42,7 @@ def _(v):
 
 
 @query("stream_quiet_sessions", """SELECT a_id, min(date) AS first_date, max(date)+5 AS end_date, sum(c)::BIGINT AS n FROM (SELECT *, sum(b) OVER (PARTITION BY a_id ORDER BY date) AS g FROM (SELECT l_suppkey AS a_id, CAST(l_shipdate AS DATE) AS date, count(*) AS c,
-  CASE WHEN CAST(l_shipdate AS DATE)-lag(CAST(l_shipdate AS DATE)) OVER (PARTITION BY l_suppkey ORDER BY CAST(l_shipdate AS DATE))<5 THEN 0 ELSE 1 END AS b FROM lineitem GROUP BY 1,2)) GROUP BY a_id, g
+  CASE WHEN CAST(l_shipdate AS DATE)-lag(CAST(l_shipdate AS DATE)) OVER (PARTITION BY l_suppkey ORDER BY CAST(l_shipdate AS DATE))<=5 THEN 0 ELSE 1 END AS b FROM lineitem GROUP BY 1,2)) GROUP BY a_id, g
   HAVING (max(date)+5)::TIMESTAMP <= (SELECT max(l_shipdate) FROM lineitem)-INTERVAL 1 DAY""")
 def _(v):
     li = StreamViews(v.spark, v.sf_dir).table("lineitem")

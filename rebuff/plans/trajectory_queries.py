@@ -7,7 +7,7 @@ from rebuff.functions.resample import mean_difference
 from rebuff.operators import panel as P, trajectory as C, windows as W
 from rebuff.oracle.ctes import DID_DOUBLES, did
 from rebuff.plans.event_queries import DELTAS
-from rebuff.plans.inference_queries import AC, autocorr_sql, kendall_sql, pettitt_sql
+from rebuff.plans.inference_queries import AC, TREND, autocorr_sql, kendall_sql, pettitt_sql
 from rebuff.plans.registry import query
 from rebuff.session import materialize
 
@@ -114,9 +114,10 @@ def _(v):
     return C.any_trend_rate(C.nonstationarity(v.active))
 
 
-@query("changepoint_timing", "SELECT label, least(floor(cp_frac*20),19)::BIGINT AS bin, count(*) AS n FROM ns WHERE feature='evasion_index' AND significant AND cp_frac IS NOT NULL GROUP BY 1,2", ctes=NS)
+@query("changepoint_timing", """SELECT CASE WHEN a_id%2=1 THEN 'abusive' ELSE 'verified' END AS arm, least(floor(cp_frac*20),19)::BIGINT AS bin, count(*) AS n FROM sl_e
+  WHERE feature='evasion_index' AND significant AND cp_frac IS NOT NULL GROUP BY 1,2""", ctes=TREND)
 def _(v):
-    return C.changepoint_timing(C.nonstationarity(v.active))
+    return C.changepoint_timing(C.nonstationarity(v.sfeat, ["evasion_index"], ["a_id", "arm"]), group="arm")
 
 
 CR_COLS = [f"{k}_{f}" for k in "dz" for f in W.RESPONSE_FEATURES]
