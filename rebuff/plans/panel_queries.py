@@ -174,7 +174,7 @@ def _(v):
 
 @query("feature_series", f"SELECT a_id, date, day, hits, {', '.join(P.FEATURES)}, cblock, c429 FROM seq14", FEATS)
 def _(v):
-    return v.seq14
+    return P.feature_series(v.hits, v.url)
 
 
 @query("column_parity", """SELECT feature, max(abs(x-y)) AS max_abs_diff, count(*) FILTER (x IS NULL OR y IS NULL) AS unmatched,

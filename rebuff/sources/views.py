@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rebuff.operators import events, panel, populations, windows
+from rebuff.session import materialize
 
 
 class Views:
@@ -103,9 +104,12 @@ class Views:
 
     @cached_property
     def sidx(self) -> DataFrame:
-        """Long panel with rates, active index i (0-based), n, and the two arms / four groups."""
+        """Long panel with rates, active index i (0-based), n, and the two arms / four groups.
+
+        Stored once per query: frames, thresholds and events all read it, and none of them may send
+        the scan back to the raw log."""
         d = panel.derived_rates(self.spanel).withColumn("p404_bi", panel.p404("nonblocked"))
-        return windows.index_days(d).withColumn("arm", self.arm()).withColumn("pop", self.pop())
+        return materialize(windows.index_days(d).withColumn("arm", self.arm()).withColumn("pop", self.pop()), "panel")
 
     @staticmethod
     def arm():
@@ -149,7 +153,8 @@ class Views:
     # ---- feature series -------------------------------------------------------------------------
     @cached_property
     def seq14(self) -> DataFrame:
-        return panel.feature_series(self.hits, self.url)
+        """The feature series, stored once per query for the same reason."""
+        return materialize(panel.feature_series(self.hits, self.url), "series")
 
     @cached_property
     def series(self) -> DataFrame:
