@@ -2,8 +2,9 @@
 
 Per document two histograms are counted: character classes and common function words. Each language's
 reference is the sum of its documents' histograms, over the whole corpus. A document is rejected when
-the Jensen-Shannon distance (base 2, 0 to 1) of a histogram to its language's reference exceeds a
-limit; short documents, whose histograms say little, pass that test.
+the Jensen-Shannon distance (base 2, 0 to 1) of its character classes to its language's reference
+exceeds a limit, or when both distances exceed lower limits at once; short documents, whose histograms
+say little, pass these tests. A text that mixes languages is far in words only, and stays.
 
 Defined cases: null or empty text has no words and fails the base rule; a null language has a reference
 of its own; repeated rows give repeated results; extra columns are passed through by ``keep_good``.
@@ -19,9 +20,10 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Minimum-length guards: characters for the class test, words for the common-word test.
 MIN_CHARS = 200
-MIN_COMMON_WORDS = 100
+MIN_COMMON_WORDS = 50
 MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.45
+#: Class and common-word distances that together reject.
+JOINT_DISTANCES = (0.155, 0.28)
 
 #: Common function words by language.
 COMMON = {
@@ -120,7 +122,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def quality(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS_DISTANCE,
-            max_word: float = MAX_WORD_DISTANCE, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+            joint: tuple[float, float] = JOINT_DISTANCES, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per input row: ``key``, ``text_key``, the measures, both distances, ``base_failed``, ``kept``.
 
     The measures are written once; references come from the written table, so each text is read once.
@@ -134,7 +136,7 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", max_class:
     out = out.withColumn("class_distance", js_distance(F.col("q_classes"), F.col("r_classes"))) \
         .withColumn("word_distance", js_distance(F.col("q_common"), F.col("r_common"))).withColumn("base_failed", failed)
     far = ((F.col("word_chars") >= MIN_CHARS) & (F.col("class_distance") > max_class)) | \
-        ((F.col("n_words") >= MIN_COMMON_WORDS) & (F.col("word_distance") > max_word))
+        ((F.col("n_words") >= MIN_COMMON_WORDS) & (F.col("class_distance") > joint[0]) & (F.col("word_distance") > joint[1]))
     return out.select(*key, "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), "class_distance", "word_distance")
 
