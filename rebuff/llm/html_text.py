@@ -50,6 +50,12 @@ EXAMPLES = (
     "<body><div>-<a>back</a></div><article><h1>+Title</h1><p>+Yes.</p><p>+A paragraph that stands between two very short ones, and is itself of some length, as one can see.</p><p>+No.</p>"
     "<p>+A second long paragraph between short ones, which keeps going on until it has enough words to count.</p><p>+Perhaps.</p></article><div>-Menu</div><div>-Imprint</div></body>",
     "<body><div>-Advertisement</div><div>-<a>Skip to the text</a></div><article><p>+So.</p><p>+It.</p><p>+Is.</p><p>+A row of one-word paragraphs.</p></article><div>-Top</div></body>",
+    "<body><div class=ad>-Only today: a long advertisement of more than twenty words, which stands right before a long title, so that its neighbours look like text.</div><article><h1>+A title that is as long as a "
+    "paragraph, since it repeats the first sentence of the article in full length, twenty words and more</h1><p>+Text.</p></article><div class=promo>-Another long advertisement of some twenty words stands after the "
+    "text and before the footer, and has no link in it.</div><footer>-Imprint and contact of the people who run this site, in a long line of about twenty words, as such lines can be.</footer></body>",
+    "<body><div class=banner>-Sale</div><div><h2>+Bare title</h2><p>+The first of the paragraphs in a page without article, with many words, and more of them, and then some more for good measure.</p>"
+    "<p>+The second paragraph in that page, which has as many words as the one before it, or nearly as many, to be honest.</p></div><div class=cookie>-This site uses cookies, and by reading on you agree to all that "
+    "is said about them in the policy, which nobody reads.</div><div><p>+The third paragraph in that page comes after the notice and goes on where the second ended, again at some length, until its end.</p></div></body>",
     "<body><article><header><h1>+Title inside the article's own header</h1></header><p>+Body text that is long enough to be told from the furniture around it.</p><p><a>+A line of the article that is all link</a></p></article>"
     "<footer><p>-A long footer text that tells who owns the site and where they live, at length and in full.</p></footer></body>",
 )
