@@ -14,7 +14,7 @@ rank by leaf. One conversation is one output row, so its text must fit a row.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rebuff.llm.common import materialize
 
@@ -33,18 +33,18 @@ def unescape(text: Column) -> Column:
 
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, dist) for (tree, node, parent, place): all ancestors of every leaf, itself at 0."""
-    up = nodes.select("tree", F.col("node").alias("p_node"), F.col("place").alias("p_place"))
-    linked = nodes.join(up, (nodes["tree"] == up["tree"]) & (nodes["parent"] == up["p_node"]) & (nodes["place"] > up["p_place"])) \
-        .select(nodes["tree"], "node", F.col("p_node").alias("up"))
+    up = nodes.select(F.col("tree").alias("p_tree"), F.col("node").alias("p_node"), F.col("place").alias("p_place"))
+    linked = nodes.join(up, (F.col("tree") == F.col("p_tree")) & (F.col("parent") == F.col("p_node")) & (F.col("place") > F.col("p_place"))) \
+        .select("tree", "node", F.col("p_node").alias("up"))
     jumps = [materialize(linked, "jumps")]
     while not jumps[-1].isEmpty():
         a, b = jumps[-1], jumps[-1].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"))
-        jumps.append(materialize(a.join(b, (a["tree"] == b["t"]) & (a["up"] == b["n"])).select("tree", "node", F.col("far").alias("up")), "jumps"))
+        jumps.append(materialize(a.join(b, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", F.col("far").alias("up")), "jumps"))
     parents = jumps[0].select("tree", F.col("up").alias("node")).distinct()
     out = nodes.select("tree", "node").join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("dist"))
     for k in reversed(range(len(jumps) - 1)):
         j = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        step = out.join(j, (out["tree"] == j["t"]) & (out["node"] == j["n"]), "left")
+        step = out.join(j, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")), "left")
         here, there = F.struct(F.col("node"), F.col("dist")), F.struct(F.col("up").alias("node"), (F.col("dist") + (1 << k)).alias("dist"))
         out = step.select("tree", "leaf", F.explode(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("x")).select("tree", "leaf", "x.*")
     return out
@@ -59,7 +59,6 @@ def format_trees(nodes: DataFrame, branches: int | None = 1, learn: str = "assis
     n = materialize(n.where(F.col("tree").isNotNull() & F.col("node").isNotNull()), "nodes")
     p = materialize(paths(n.select("tree", "node", "parent", "place")), "paths")
     scored = p.join(n.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
-    from pyspark.sql import Window
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc_nulls_last(), "leaf")))
     if branches is not None:
         ranked = ranked.where(F.col("rank") <= branches)

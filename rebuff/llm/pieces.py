@@ -70,8 +70,8 @@ def build(pieces: list, scored: dict, byte_ids: list) -> Model:
     return Model(pieces, lattice, byte_ids, min((s for _, s in scored.values()), default=0.0) - BYTE_PENALTY)
 
 
-#: In a chunk U+2581 stands for a space; a literal one was replaced by this private mark.
-_LITERAL = "\U0010fffe"
+#: In a chunk U+2581 stands for a space, so a plain space can mark a literal U+2581.
+_LITERAL = " "
 
 
 def chunks(text: str) -> list[str]:
