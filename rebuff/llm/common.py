@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rebuff.session import materialize, scratch_path, shared_folder
 
-__all__ = ["ascii_lower", "materialize", "repack", "scratch_path", "shared_folder", "spread", "table", "text_key", "words"]
+__all__ = ["ascii_lower", "broadcast_if_small", "materialize", "repack", "scratch_path", "shared_folder", "spread", "table", "text_key", "words"]
 
 #: The six ASCII white-space characters, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -38,6 +38,12 @@ def text_key(text: Column) -> Column:
     return F.coalesce(F.md5(F.encode(text, "UTF-8")), F.lit("null"))
 
 
+def broadcast_if_small(written: DataFrame, max_rows: int) -> DataFrame:
+    """A broadcast hint behind a count: for a written table of narrow rows, of which at most ``max_rows``
+    are sent to every executor. A larger table is left to the optimizer, which then shuffles both sides."""
+    return F.broadcast(written) if written.count() <= max_rows else written
+
+
 def repack(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partitions by ``keys`` into the session's shuffle partitions."""
     return df.repartition(spread(df.sparkSession), *[F.col(k) for k in keys])

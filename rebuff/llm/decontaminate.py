@@ -4,9 +4,9 @@ Words are runs of ASCII letters and digits and of anything beyond ASCII, with A-
 of ``n`` item words (a shorter item is one window of its own length) is hashed; the training windows are
 scanned against that set, and a hash match counts only if the words agree.
 
-The benchmark's window table is written first, so the join knows its real size: it is broadcast below
-``spark.sql.autoBroadcastJoinThreshold`` and shuffled otherwise. Training windows never move in the first
-case; only verified hits are grouped.
+The benchmark's window table is written and counted first: up to ``BROADCAST_ROWS`` windows are broadcast,
+more are joined by a shuffle of the training windows. In the first case training windows never move; only
+verified hits are grouped.
 
 Defined cases: null or empty texts have no words, no windows and no hits; an item without words matches
 nothing; rows that repeat an id with another text are told apart by their text; an empty benchmark leaves
@@ -16,9 +16,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rebuff.llm.common import ascii_lower, materialize, text_key
+from rebuff.llm.common import ascii_lower, broadcast_if_small, materialize, text_key
 
 WINDOW = 10
+#: About 100 bytes a window: at most 50 MB are broadcast.
+BROADCAST_ROWS = 500_000
 #: Fixed value: what stands between words, after A-Z were lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same class for text whose case was kept.
@@ -57,9 +59,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, key: str = "doc
         pick = F.when(F.col("size") == s, at).otherwise(pick)
     scan = scan.select("k", "text_key", "n_words", "w", "size", F.explode(pick).alias("p"))
     scan = scan.withColumn("hash", F.when(F.col("p") > 0, F.xxhash64(F.slice("w", F.col("p"), F.col("size")))))
-    found = scan.join(w.select(F.col("size").alias("b_size"), F.col("hash").alias("b_hash"), "words", "items"),
-                      (F.col("hash") == F.col("b_hash")) & (F.col("size") == F.col("b_size")), "left")
-    same = F.array_join(F.slice("w", F.greatest(F.col("p"), F.lit(1)), F.col("size")), " ") == F.col("words")
+    told = w.select(F.col("size").alias("b_size"), F.col("hash").alias("b_hash"), "words", "items")
+    sent = broadcast_if_small(told, BROADCAST_ROWS)
+    own = F.array_join(F.slice("w", F.greatest(F.col("p"), F.lit(1)), F.col("size")), " ")
+    if sent is told:        # rows move: each takes its own words along instead of the document's
+        scan = scan.withColumn("own", own).drop("w")
+        own = F.col("own")
+    found = scan.join(sent, (F.col("hash") == F.col("b_hash")) & (F.col("size") == F.col("b_size")), "left")
+    same = own == F.col("words")
     found = found.where((F.col("p") == 0) | F.col("words").isNotNull()).select(
         "k", "text_key", "n_words", F.when(same, F.struct("p", "size")).alias("hit"), F.when(same, F.col("items")).alias("items"))
     g = found.groupBy("k", "text_key").agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("items").alias("items"))

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rebuff.llm.common import materialize
+from rebuff.llm.common import broadcast_if_small, materialize
 
 BUCKETS = 1 << 16
 #: The documented bound of the training sample: documents of each language, in expectation.
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(key)), F.lit(True)))
     counts = materialize(known.groupBy("l").agg(F.count(F.lit(1)).alias("n")), "languages")
     span = 1 << 30
-    chosen = known.join(counts.withColumnRenamed("l", "c_l"), F.col("l") == F.col("c_l")).where(
+    chosen = known.join(broadcast_if_small(counts.withColumnRenamed("l", "c_l"), 100_000), F.col("l") == F.col("c_l")).where(
         F.pmod(F.xxhash64("k"), F.lit(span)) * F.col("n") <= F.lit(per_language * span))
     sample = chosen.groupBy(F.lit(1).alias("one")).applyInArrow(_train_task, "langs array<string>, weights binary, transition binary")
     row = sample.first()

@@ -2,7 +2,7 @@
 
 A text is normalised (case, equivalent spellings, copyright lines, punctuation, white space) and its digest
 is joined to the digests of known licences. Whole documents are looked up, and each of their lines as a
-text of its own, against full texts and one-line notices alike. The known table is written first, so the join knows its size.
+text of its own, against full texts and one-line notices alike. The known table is written and counted first, and broadcast if it is small.
 
 Defined cases: null and empty texts match nothing; a text of copyright lines only is empty; of known
 licences with equal digests the least name counts; rows that repeat an id are told apart by their text.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rebuff.llm.common import materialize, text_key
+from rebuff.llm.common import broadcast_if_small, materialize, text_key
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -77,7 +77,7 @@ def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = No
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text_key, digest, license, notices): per distinct (key, text) the licence whose entire text it
     is, and the sorted licences named by any of its lines."""
-    k = materialize(known.select(F.col("digest").alias("k_digest"), F.col("license")), "known")
+    k = broadcast_if_small(materialize(known.select(F.col("digest").alias("k_digest"), F.col("license")), "known"), 500_000)
     d = docs.select(F.col(key).alias("k"), text_key(F.col(text)).alias("text_key"), normalised(F.col(text)).alias("t"))
     d = d.withColumn("digest", digest(F.col("t"))).withColumn("lines", F.split("t", "\n", -1))
     rows = d.select("k", "text_key", "digest", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("digest").alias("d"))), F.transform(

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rebuff.llm.common import materialize, text_key, words
+from rebuff.llm.common import broadcast_if_small, materialize, text_key, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -129,8 +129,8 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", max_class:
     """
     d = docs.select(*key, F.col(text).alias("text"), F.col(lang).alias("lang"))
     m = materialize(measure(d).withColumn("text_key", text_key(F.col("text"))).drop("text"), "quality")
-    # One row per language, written and read again, so that the join knows its real size.
-    ref = materialize(references(m, "lang"), "references")
+    # One row of about a kilobyte per language.
+    ref = broadcast_if_small(materialize(references(m, "lang"), "references"), 20_000)
     out = m.join(ref, m["lang"].eqNullSafe(ref["r_lang"]), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
     out = out.withColumn("class_distance", js_distance(F.col("q_classes"), F.col("r_classes"))) \
