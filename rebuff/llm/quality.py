@@ -118,7 +118,7 @@ def js_distance(p: Column, q: Column) -> Column:
     share = lambda a: F.transform(F.array(F.struct(a.alias("a"), total(a).alias("t"))), lambda s: F.transform(s["a"], lambda x: F.try_divide(x, s["t"])))[0]
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     parts = F.zip_with(share(p), share(q), lambda x, y: (term(x, (x + y) / 2) + term(y, (x + y) / 2)) / 2)
-    return F.sqrt(F.greatest(total(parts), F.lit(0.0)))
+    return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(total(parts), F.lit(0.0))))
 
 
 def quality(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS_DISTANCE,
