@@ -228,7 +228,7 @@ CM = DOSE | {"cms": """SELECT arm, avg(pre_o) AS mo, avg(pre_logvol) AS mv, sqrt
              "cmb": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arm,id ORDER BY dist, lid) AS rn FROM cmp) WHERE rn=1 AND dist<=0.2"}
 
 
-@query("caliper_match", "SELECT arm, n_heavy, n_matched, matched_gap FROM (SELECT arm, count(*) FILTER (heavy) AS n_heavy FROM dz GROUP BY 1) JOIN (SELECT arm, count(*) AS n_matched, avg(y)-avg(ly) AS matched_gap FROM cmb GROUP BY 1) USING (arm)",
+@query("caliper_match", "SELECT arm, n_heavy, coalesce(n_matched,0) AS n_matched, matched_gap FROM (SELECT arm, count(*) FILTER (heavy) AS n_heavy FROM dz GROUP BY 1) LEFT JOIN (SELECT arm, count(*) AS n_matched, avg(y)-avg(ly) AS matched_gap FROM cmb GROUP BY 1) USING (arm)",
        "matched_gap", ctes=CM)
 def _(v):
     return I.caliper_match(I.dose_events(v.sobs))
