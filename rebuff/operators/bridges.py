@@ -244,26 +244,25 @@ def leave_date_out(pairs: DataFrame, reps: int = REPLICATES) -> DataFrame:
     return t.join(_cluster_interval(rest, "t_A", "dB_v", "ci_lo", "ci_hi", reps), "stratum", "left").drop("stratum")
 
 
-def planted_handoff(series: DataFrame, bots: Column, min_days: int = MIN_DAYS) -> DataFrame:
-    """Positive control: real series cut at their midpoint into a dying and a born half. The volume
-    must collapse in A, ramp in B, and the placebo of B must stay 0."""
+def planted_handoff(series: DataFrame, bots: Column, min_days: int = MIN_DAYS, placebo_shift: int = 60) -> DataFrame:
+    """Positive control: real series cut at their midpoint into a dying and a born half, two agents to
+    ``date_window_stats``. The volume must collapse in A, ramp in B, and the placebo of B must stay 0."""
     s = series.where(bots)
     span = s.groupBy("a_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi")).where(F.datediff("hi", "lo") >= 4 * WC)
     cut = span.select("a_id", F.date_add("lo", F.floor(F.datediff("hi", "lo") / 2).cast("int")).alias("t"))
-    d = materialize(s.join(cut, "a_id"))
-    size = d.groupBy("a_id").agg(F.count_if(F.col("date") < F.col("t")).alias("_na"), F.count_if(F.col("date") >= F.col("t")).alias("_nb"))
-    pre = (F.col("date") < F.col("t")) & (F.col("date") >= F.date_sub("t", WC))
-    post = (F.col("date") >= F.col("t")) & (F.col("date") < F.date_add("t", WC))
-    def total(cond):
-        return F.log1p(F.coalesce(F.sum(F.when(cond, F.col("hits"))), F.lit(0)))
-    a = d.groupBy("a_id").agg((-total(pre)).alias("dA_v"), total(post).alias("dB_v"), F.avg(F.when(pre, F.col("b"))).alias("bA_pre"),
-                              F.avg(F.when(post, F.col("b"))).alias("bB_post"), F.count(F.when(post, 1)).alias("_npost"))
-    p = a.join(size, "a_id").where(f"_na >= {min_days} and _nb >= {min_days} and _npost > 0")
-    # The born half has no day before the cut, so its change around an earlier date is exactly 0.
-    p = p.withColumn("dB_v_placebo", F.lit(0.0))
-    return p.agg(F.count(F.lit(1)).alias("n_planted"), F.avg("dA_v").alias("dA_v_mean"), F.avg("dB_v").alias("dB_v_mean"),
-                 F.avg("dB_v_placebo").alias("dB_v_placebo_mean"), F.avg(F.col("bB_post") - F.col("bA_pre")).alias("b_transfer_bias"),
-                 F.corr("bA_pre", "bB_post").alias("b_corr"), F.avg((F.col("dB_v") > F.col("dB_v_placebo")).cast("double")).alias("frac_ramp"))
+    d = s.join(cut, "a_id").withColumn("half", F.when(F.col("date") < F.col("t"), "A").otherwise("B"))
+    d = materialize(d.select(F.col("a_id").alias("own"), F.concat_ws("/", "a_id", "half").alias("a_id"), "half", "t", "date", "hits", "b"))
+    halves = materialize(d.groupBy("own", "half", "a_id", "t").agg(F.count(F.lit(1)).alias("days")).where(f"days >= {min_days}"))
+
+    def at(half: str, shift: int, tag: str) -> DataFrame:
+        """The windows of one half around its cut, or ``shift`` days before it."""
+        c = halves.where(F.col("half") == half).select("own", "a_id", F.date_sub("t", shift).alias("t"))
+        st = date_window_stats(d.drop("t"), c.select("a_id", "t")).withColumn("change", F.col("v_post") - F.col("v_pre"))
+        return c.join(st, ["a_id", "t"]).select("own", *[F.col(x).alias(f"{x}_{tag}") for x in ("change", "b_pre", "b_post", "n_post")])
+    p = at("A", 0, "a").join(at("B", 0, "b"), "own").join(at("B", placebo_shift, "z"), "own").where("n_post_b > 0")
+    return p.agg(F.count(F.lit(1)).alias("n_planted"), F.avg("change_a").alias("dA_v_mean"), F.avg("change_b").alias("dB_v_mean"),
+                 F.avg("change_z").alias("dB_v_placebo_mean"), F.avg(F.col("b_post_b") - F.col("b_pre_a")).alias("b_transfer_bias"),
+                 F.corr("b_pre_a", "b_post_b").alias("b_corr"), F.avg((F.col("change_b") > F.col("change_z")).cast("double")).alias("frac_ramp"))
 
 
 def coverage_register(candidates: DataFrame, deaths: DataFrame, series: DataFrame, min_days: int = MIN_DAYS) -> DataFrame:
