@@ -210,6 +210,20 @@ def test_pieces_round_trip(spark, documents):
     assert got == dict(rows)
 
 
+def test_chunks_together(documents):
+    model = pieces.load(PIECE_MODEL)
+    found = list(dict.fromkeys(c for t in [*TRICKY, *(t for _, t, _ in documents[:40])] if t for c in pieces.chunks(t)))
+    found += [c for c in (pieces.SPACE + "ab" * 40, "日本語😀", "é\x00a", "\x00", pieces._LITERAL) if c not in found]
+    assert len(found) > 100
+    for (ids, score, cost), c in zip(pieces.viterbi_many(model, found), found, strict=True):
+        want = pieces.viterbi(model, c)
+        assert (ids, score, cost) == (want[0].tobytes(), want[1], want[2]), c
+    ways = pieces.Ways(model)
+    for _ in range(2):
+        for c, k in zip(found[:60] * 2, ways.of(found[:60] * 2).tolist(), strict=True):
+            assert ways.ids[ways.ends[k]:ways.ends[k + 1]].tolist() == pieces.viterbi(model, c)[0].tolist()
+
+
 def test_n_best():
     scored = {p: (k, -float(len(p) * 7 % 5) - 0.01 * k) for k, p in enumerate(["▁", "a", "b", "ab", "aba", "ba", "▁a", "bab", "▁ab"])}
     model = pieces.build([*scored, *range(256)], scored, list(range(9, 265)))
