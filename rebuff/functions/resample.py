@@ -1,40 +1,60 @@
-"""Seeded resampling as joins: replicates are rows, draws are keys, no driver-side generator."""
+"""Seeded resampling in one pass: a unit's weight in a replicate is a Poisson(1) count of its own.
+
+Weights replace drawing with replacement: a unit's expected weight is one and replicates stay independent,
+while the number of units in a replicate varies around the number given, which ratios of weighted sums
+take out. No replicate needs to know how many units there are, so nothing is numbered or joined: rows
+are weighted where they lie and partial sums per (group, replicate) are all that is shuffled.
+"""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rebuff.functions.distributed import exact_quantiles, number_units
-from rebuff.functions.expressions import draw
+from rebuff.functions.distributed import exact_quantiles
 from rebuff.session import materialize
 
 SEED = 42
 REPLICATES = 2000
+#: Replicates that share one md5, eight hexadecimal digits each.
+PER_HASH = 4
 
 
-def resample(units: DataFrame, key: str, by: Sequence[str] = (), reps: int = REPLICATES, seed=SEED) -> DataFrame:
-    """Every replicate draws n_units units with replacement per group.
+def poisson_steps() -> list[str]:
+    """Upper bounds of the counts 0, 1, ... as eight hexadecimal digits of the cumulative probability."""
+    steps, total, k = [], 0.0, 0
+    while (total := total + math.exp(-1) / math.factorial(k)) < 1 - 2 ** -32:
+        steps.append(f"{int(total * 2 ** 32):08x}")
+        k += 1
+    return steps
 
-    The result has ``rep`` and the drawn unit's columns. The numbered units are the lookup side of
-    an equi-join on the draw; Spark broadcasts them only below its size threshold and otherwise
-    shuffles both sides on the (uniform) draw.
-    """
-    by = list(by)
-    u = number_units(units, key, by)
+
+def multiplicities(units: DataFrame, key: str, by: Sequence[str] = (), reps: int = REPLICATES, seed=SEED) -> DataFrame:
+    """The units' columns plus (rep, _w): the weight of each unit in each replicate where it has one. Rows with
+    the same group and key share their weights, so clusters stay together."""
     spread = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A small table of units becomes reps x units draws, so it is spread before it grows.
-    draws = (u.select(*by, F.col("idx").alias("_j"), "n_units").repartition(spread, "_j")
-             .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-             .withColumn("idx", draw(seed, F.col("n_units"), *by, "rep", "_j"))
-             .select(*by, "rep", "idx"))
-    return draws.join(u.drop("n_units"), [*by, "idx"])
+    blocks = F.sequence(F.lit(0), F.lit((reps - 1) // PER_HASH))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *by, "_b", key))
+    digits = F.array(*[F.substring("_h", 8 * k + 1, 8) for k in range(PER_HASH)])
+    w = F.lit(0)
+    for step in poisson_steps():
+        w = w + (F.col("_d") >= step).cast("int")
+    # A small table of units becomes reps x units weights, so it is spread before it grows.
+    return (units.repartition(spread, key).withColumn("_b", F.explode(blocks)).withColumn("_h", h)
+            .select(*units.columns, "_b", F.posexplode(digits).alias("_k", "_d"))
+            .select(*units.columns, (F.col("_b") * PER_HASH + F.col("_k") + 1).alias("rep"), w.alias("_w"))
+            .where((F.col("_w") > 0) & (F.col("rep") <= reps)))
 
 
-def multiplicities(units: DataFrame, key: str, by: Sequence[str] = (), reps: int = REPLICATES, seed=SEED) -> DataFrame:
-    """(group, rep, key, w): how often each cluster was drawn. Rows are weighted, never copied."""
-    return (resample(units.select(*by, key), key, by, reps, seed)
-            .groupBy(*by, "rep", key).agg(F.count(F.lit(1)).alias("w")))
+def weighted(column: str, where: Column | None = None) -> Column:
+    """Sum of a column over a replicate's weighted rows."""
+    x = F.col("_w") * F.col(column)
+    return F.sum(x if where is None else F.when(where, x))
+
+
+def weighted_mean(column: str) -> Column:
+    return weighted(column) / F.sum(F.when(F.col(column).isNotNull(), F.col("_w")))
 
 
 def interval(column: str = "stat", lo: str = "ci_lo", hi: str = "ci_hi") -> list[Column]:
@@ -48,7 +68,7 @@ def mean_intervals(units: DataFrame, key: str, value: str, by: Sequence[str] = (
     by = list(by)
     u = materialize(units.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("_x")))
     point = u.groupBy(*by).agg(F.avg("_x").alias("mean"), F.count("_x").alias("n"))
-    reps_ = resample(u, key, by, reps, seed).groupBy(*by, "rep").agg(F.avg("_x").alias("stat"))
+    reps_ = multiplicities(u, key, by, reps, seed).groupBy(*by, "rep").agg(weighted_mean("_x").alias("stat"))
     ci = reps_.groupBy(*by).agg(*interval())
     return point.join(ci, by) if by else point.crossJoin(F.broadcast(ci))
 
@@ -64,7 +84,7 @@ def mean_difference(units: DataFrame, key: str, value: str, arm: str, a: str, b:
         return fn(F.when(F.col("_arm") == name, F.col(col)))
     point = u.groupBy(*by).agg(pick(a, F.avg).alias("mean_a"), pick(b, F.avg).alias("mean_b"),
                                pick(a, F.count).alias("n_a"), pick(b, F.count).alias("n_b"))
-    draws = resample(u, key, [*by, "_arm"], reps, seed).groupBy(*by, "rep", "_arm").agg(F.avg("_x").alias("_m"))
+    draws = multiplicities(u, key, [*by, "_arm"], reps, seed).groupBy(*by, "rep", "_arm").agg(weighted_mean("_x").alias("_m"))
     stat = draws.groupBy(*by, "rep").agg((pick(a, F.max, "_m") - pick(b, F.max, "_m")).alias("stat"))
     ci = stat.groupBy(*by).agg(*interval())
     out = point.join(ci, by, "left") if by else point.crossJoin(F.broadcast(ci))
@@ -82,7 +102,7 @@ def median_intervals(units: DataFrame, key: str, value: str, by: Sequence[str] =
     by = list(by)
     u = materialize(units.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("_x")))
     point = exact_quantiles(u, "_x", {"median": 0.5}, by)
-    med = exact_quantiles(resample(u, key, by, reps, seed), "_x", {"stat": 0.5}, [*by, "rep"])
+    med = exact_quantiles(multiplicities(u, key, by, reps, seed), "_x", {"stat": 0.5}, [*by, "rep"], weight="_w")
     ci = med.groupBy(*by).agg(*interval())
     out = point.join(ci, by) if by else point.crossJoin(F.broadcast(ci))
     ok = F.col("n") >= min_n

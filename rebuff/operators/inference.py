@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rebuff.functions.distributed import average_ranks, exact_quantiles, range_bins, ranked_values
 from rebuff.functions.expressions import Z95, safe_div, solve
-from rebuff.functions.resample import REPLICATES, interval, multiplicities, resample
+from rebuff.functions.resample import REPLICATES, interval, multiplicities, weighted
 from rebuff.session import materialize
 
 LAG_MAX = 14
@@ -23,11 +23,9 @@ def cluster_mean_intervals(rows: DataFrame, cluster: str, value: str, by: Sequen
     by = list(by)
     c = materialize(rows.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(
         F.sum(value).alias("_s"), F.count(value).alias("_m")))
-    def stat():
-        return F.sum("_s") / F.sum("_m")
-    point = c.groupBy(*by).agg(stat().alias("mean"), F.sum("_m").alias("n_rows"), F.count(F.lit(1)).alias("n_clusters"),
+    point = c.groupBy(*by).agg((F.sum("_s") / F.sum("_m")).alias("mean"), F.sum("_m").alias("n_rows"), F.count(F.lit(1)).alias("n_clusters"),
                                (F.max("_m") / F.sum("_m")).alias("largest_cluster_share"))
-    draws = resample(c, cluster, by, reps).groupBy(*by, "rep").agg(stat().alias("stat"))
+    draws = multiplicities(c, cluster, by, reps).groupBy(*by, "rep").agg((weighted("_s") / weighted("_m")).alias("stat"))
     return point.join(draws.groupBy(*by).agg(*interval()), by)
 
 
@@ -35,14 +33,13 @@ def dose_gap_bootstrap(ev: DataFrame, reps: int = REPLICATES) -> DataFrame:
     """Raw dose gap per arm with an agent-clustered interval; the median that splits heavy from light
     is recomputed in every replicate, as a weighted quantile over multiplicities."""
     ev = materialize(ev.select("a_id", "arm", "intensity", "d_o"))
-    agents = ev.select("arm", "a_id").distinct()
-    rows = multiplicities(agents, "a_id", ["arm"], reps).join(ev, ["arm", "a_id"])
-    med = exact_quantiles(rows, "intensity", {"med": 0.5}, ["arm", "rep"], weight="w").drop("n")
+    rows = multiplicities(ev, "a_id", ["arm"], reps)
+    med = exact_quantiles(rows, "intensity", {"med": 0.5}, ["arm", "rep"], weight="_w").drop("n")
     heavy = F.col("intensity") > F.col("med")
     def wmean(cond):
-        return F.sum(F.when(cond, F.col("w") * F.col("d_o"))) / F.sum(F.when(cond, F.col("w")))
+        return F.sum(F.when(cond, F.col("_w") * F.col("d_o"))) / F.sum(F.when(cond, F.col("_w")))
     def size(cond):
-        return F.coalesce(F.sum(F.when(cond, F.col("w"))), F.lit(0))
+        return F.coalesce(F.sum(F.when(cond, F.col("_w"))), F.lit(0))
     stat = (rows.join(F.broadcast(med), ["arm", "rep"]).groupBy("arm", "rep")
             .agg((wmean(heavy) - wmean(~heavy)).alias("g"), size(heavy).alias("_h"), size(~heavy).alias("_l"))
             .select("arm", "rep", F.when((F.col("_h") >= 5) & (F.col("_l") >= 5), F.col("g")).alias("stat")))
@@ -205,7 +202,8 @@ def rank_correlation(units: DataFrame, key: str, x: str, y: str, reps: int = REP
 
     point = u.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson_r"))
     obs = rho(u, []).select(F.col("stat").alias("spearman_rho"))
-    ci = rho(materialize(resample(u, key, (), reps).select("rep", "x", "y")), ["rep"]).agg(*interval())
+    copies = multiplicities(u, key, (), reps).select("rep", "x", "y", F.explode(F.sequence(F.lit(1), "_w")))
+    ci = rho(materialize(copies.select("rep", "x", "y")), ["rep"]).agg(*interval())
     return point.crossJoin(F.broadcast(obs)).crossJoin(F.broadcast(ci))
 
 

@@ -1,6 +1,7 @@
 """SQL oracle: the same views as the Spark side, written independently as common table expressions."""
 from __future__ import annotations
 
+import math
 import re
 
 BASE: dict[str, str] = {}
@@ -19,23 +20,19 @@ def thin(name: str, cand: str, gap: int) -> dict[str, str]:
     }
 
 
-def numbered(src: str, key: str, by: str = "") -> str:
-    part = f"PARTITION BY {by}" if by else ""
-    return (f"SELECT *, row_number() OVER ({part} ORDER BY md5(CAST({key} AS VARCHAR)), {key})-1 AS idx, "
-            f"count(*) OVER ({part}) AS n_units FROM {src}")
-
-
 def boot(name: str, src: str, key: str, by: str = "", reps: int = 2000, seed: int = 42) -> dict[str, str]:
-    """CTEs name_u (numbered units) and name_d (replicate draws joined to units)."""
+    """CTE name_d: each replicate's units, as many copies of a unit as its Poisson(1) count says."""
     bys = [b.strip() for b in by.split(",") if b.strip()]
-    pre = "".join(f"a.{b}, " for b in bys)
-    on = " AND ".join([f"u.{b}=a.{b}" for b in bys] + ["u.idx=a.dr"])
-    sel = "".join(f"{b}, " for b in bys)
+    total, bounds = 0.0, []
+    for k in range(40):
+        total += math.exp(-1) / math.factorial(k)
+        if total >= 1 - 2 ** -32:
+            break
+        bounds.append(f"'{int(total * 2 ** 32):08x}'")
+    digest = f"md5(concat_ws(':', '{seed}', {', '.join([*bys, '(r.rep-1)//4', key])}))"
     return {
-        f"{name}_u": numbered(src, key, by),
-        f"{name}_a": f"SELECT {sel}r.rep, {draw_sql('n_units', *bys, 'r.rep', 'idx', seed=seed)} AS dr "
-                     f"FROM {name}_u, (SELECT unnest(generate_series(1,{reps})) AS rep) r",
-        f"{name}_d": f"SELECT a.rep, u.* FROM {name}_a a JOIN {name}_u u ON {on}",
+        f"{name}_h": f"SELECT r.rep, s.*, substr({digest}, CAST(1+8*((r.rep-1)%4) AS BIGINT), 8) AS hx FROM {src} s, (SELECT unnest(generate_series(1,{reps})) AS rep) r",
+        f"{name}_d": f"SELECT *, unnest(range({'+'.join(f"(hx>={b})::BIGINT" for b in bounds)})) AS cp FROM {name}_h",
     }
 
 

@@ -197,15 +197,15 @@ CH = {"ch1": """SELECT *, robots_rate-lag(robots_rate) OVER (PARTITION BY a_id O
   WHERE n>=20 AND i>=5 AND i+5<n GROUP BY 1,2""",
       "ch4": "SELECT a_id, pop, channel, value FROM ch3 UNPIVOT (value FOR channel IN (d_p404, d_robots, d_loghits, z_robots))",
       "ch5": " UNION ALL ".join(f"SELECT a_id, '{a}_vs_{b}' AS pair, CASE WHEN pop='{a}' THEN 'a' ELSE 'b' END AS side, channel, value FROM ch4 WHERE pop IN ('{a}','{b}')" for a, b in W.PAIRINGS)}
-_sql, _c = did("w11", "ch5", "value", "a", "b", "side", "pair, channel", reps=500)
+_sql, _c = did("w11", "ch5", "value", "a", "b", "side", "pair, channel")
 
 
 @query("response_channels", _sql, DID_DOUBLES, ctes=CH | _c)
 def _(v):
-    return mean_difference(W.pair_sides(W.response_channels(v.sidx)), "a_id", "value", "side", "a", "b", ["pair", "channel"], reps=500)
+    return mean_difference(W.pair_sides(W.response_channels(v.sidx)), "a_id", "value", "side", "a", "b", ["pair", "channel"])
 
 
-TR = {"tru": "SELECT DISTINCT a_id, arm FROM traj11"} | boot("trb", "tru", "a_id", "arm", 500) | {
+TR = {"tru": "SELECT DISTINCT a_id, arm FROM traj11"} | boot("trb", "tru", "a_id", "arm") | {
     "trm": "SELECT d.rep, d.arm, t, avg(v) AS m FROM trb_d d JOIN traj11 j ON j.a_id=d.a_id GROUP BY 1,2,3",
     "trd": "SELECT rep, t, max(m) FILTER (arm='abusive')-max(m) FILTER (arm='verified') AS d FROM trm GROUP BY 1,2",
     "tro": "SELECT t, avg(v) FILTER (arm='abusive') AS ma, avg(v) FILTER (arm='verified') AS mb FROM traj11 GROUP BY 1",
@@ -217,7 +217,7 @@ TR = {"tru": "SELECT DISTINCT a_id, arm FROM traj11"} | boot("trb", "tru", "a_id
        "mean_abusive mean_verified diff diff_lo diff_hi", ctes=TR)
 def _(v):
     d = E.flag_block_events(v.sobs, {"kept": 11})
-    return W.event_time_study(W.agent_trajectories(d, "kept"), reps=500)
+    return W.event_time_study(W.agent_trajectories(d, "kept"))
 
 
 @query("pretrend_test", """SELECT span, slope, slope_lo, slope_hi, n_excluding_zero FROM (SELECT span, regr_slope(ma-mb,t) AS slope FROM tro JOIN spans ON t BETWEEN a AND b GROUP BY 1)
@@ -225,7 +225,7 @@ def _(v):
   JOIN (SELECT span, count(*) FILTER (lo>0 OR hi<0) AS n_excluding_zero FROM trq JOIN spans ON t BETWEEN a AND b GROUP BY 1) USING (span)""", "slope slope_lo slope_hi", ctes=TR)
 def _(v):
     d = E.flag_block_events(v.sobs, {"kept": 11})
-    return W.pretrend_test(W.agent_trajectories(d, "kept"), reps=500)
+    return W.pretrend_test(W.agent_trajectories(d, "kept"))
 
 
 SG = {"sgx": """SELECT a_id, arm, i, n, coord, x, robots_rate, loghits FROM (SELECT *, p404 AS baseline, p404_bi AS nonblocked, CASE WHEN c404+c200>0 THEN c404/(c404+c200) END AS vs200 FROM sidx WHERE n>=20)
@@ -238,12 +238,12 @@ SG = {"sgx": """SELECT a_id, arm, i, n, coord, x, robots_rate, loghits FROM (SEL
       "sgc": "SELECT w::BIGINT AS w, gap::BIGINT AS gap FROM (SELECT unnest([3,5,7]) AS w), (SELECT unnest([0,1,3,5]) AS gap)",
       "sgu": """SELECT spacing, coord, w, gap, a_id, arm, avg(v) FILTER (t BETWEEN 1 AND w)-avg(v) FILTER (t BETWEEN -(gap+w) AND -(gap+1)) AS d FROM sgt, sgc GROUP BY 1,2,3,4,5,6""",
       "sgd": "SELECT coord, spacing, w, gap, avg(d) FILTER (arm='abusive')-avg(d) FILTER (arm='verified') AS did FROM sgu GROUP BY 1,2,3,4"}
-_sql, _c = did("w14", "sgu", "d", by="coord, spacing, w, gap", reps=100)
+_sql, _c = did("w14", "sgu", "d", by="coord, spacing, w, gap")
 
 
 @query("spec_grid", _sql, DID_DOUBLES, ctes=SG | _c)
 def _(v):
-    return two_arms(W.spec_units(v.sidx, is_arm("verified")), "d", by=["coord", "spacing", "w", "gap"], reps=100)
+    return two_arms(W.spec_units(v.sidx, is_arm("verified")), "d", by=["coord", "spacing", "w", "gap"])
 
 
 @query("grid_rank", """SELECT coord, spacing, w, gap, did, (SELECT 100*avg((g.did<=c.did)::INT::DOUBLE) FROM sgd g) AS percentile FROM sgd c WHERE coord='nonblocked' AND spacing=16 AND w=5 AND gap=5""",
@@ -287,7 +287,7 @@ SC = {"sr": "SELECT s.*, label AS arm, score FROM active s LEFT JOIN scores c ON
         WHERE i>=5 AND i+5<n AND d_score IS NOT NULL""",
       "sru": """SELECT 'score' AS outcome, a_id, arm, sum(d_score) AS s, count(d_score) AS k FROM sre GROUP BY a_id, arm UNION ALL
         SELECT 'score_stealth', a_id, arm, sum(CASE WHEN vol_ratio>=0.5 THEN d_score END), count(CASE WHEN vol_ratio>=0.5 THEN d_score END) FROM sre GROUP BY a_id, arm UNION ALL
-        SELECT 'resistance', a_id, arm, sum(d_resistance), count(d_resistance) FROM sre GROUP BY a_id, arm"""} | boot("srb", "sru", "a_id", "outcome, arm", 500) | {
+        SELECT 'resistance', a_id, arm, sum(d_resistance), count(d_resistance) FROM sre GROUP BY a_id, arm"""} | boot("srb", "sru", "a_id", "outcome, arm", 4000) | {
       "srr": "SELECT outcome, rep, sum(s) FILTER (arm='bot')/sum(k) FILTER (arm='bot')-sum(s) FILTER (arm='human')/sum(k) FILTER (arm='human') AS stat FROM srb_d GROUP BY 1,2"}
 
 
@@ -296,7 +296,7 @@ SC = {"sr": "SELECT s.*, label AS arm, score FROM active s LEFT JOIN scores c ON
   JOIN (SELECT outcome, quantile_cont(stat,0.025) AS ci_lo, quantile_cont(stat,0.975) AS ci_hi FROM srr GROUP BY 1) USING (outcome)""", DID_DOUBLES, ctes=SC)
 def _(v):
     d = v.active.where(F.col("label").isin("bot", "human")).withColumn("arm", F.col("label"))
-    return W.pooled_difference(W.pooled_units(W.score_events(d, v.scores)), "bot", "human", reps=500)
+    return W.pooled_difference(W.pooled_units(W.score_events(d, v.scores)), "bot", "human", reps=4000)
 
 
 @query("align_window_scores", """SELECT a_id, i, CASE WHEN i>=29 THEN avg(score) OVER (PARTITION BY a_id ORDER BY i ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) END AS score
@@ -332,12 +332,12 @@ OV = {"ovf": """SELECT *, (c22*c33-c23*c23) AS a11, (c13*c23-c12*c33) AS a12, (c
       "ovu": " UNION ALL ".join(f"""SELECT a_id, arm, '{x}' AS variant, avg(d) AS d_o FROM (SELECT a_id, arm, i, n, avg({x}) OVER (PARTITION BY a_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)
         -avg({x}) OVER (PARTITION BY a_id ORDER BY i ROWS BETWEEN 10 PRECEDING AND 6 PRECEDING) AS d FROM ovo) JOIN sev16 USING (a_id,i) WHERE i>=10 AND i+5<n GROUP BY a_id, arm"""
                                 for x in ("base", "maha", "novol", "strict_centroid"))}
-_sql, _c = did("w22", "ovu", "d_o", by="variant", reps=500)
+_sql, _c = did("w22", "ovu", "d_o", by="variant")
 
 
 @query("observability_variants", _sql, DID_DOUBLES, ctes=OV | _c)
 def _(v):
-    return two_arms(W.variant_units(v.sidx, is_arm("verified"), F.col("pop") == "verified"), "d_o", by=["variant"], reps=500)
+    return two_arms(W.variant_units(v.sidx, is_arm("verified"), F.col("pop") == "verified"), "d_o", by=["variant"])
 
 
 @query("agent_observability", """SELECT a_id, arm, count(*) AS n_days, sqrt(pow((avg(p404_bi)-max(u1))/max(s1),2)+pow((avg(robots_rate)-max(u2))/max(s2),2)+pow((avg(loghits)-max(u3))/max(s3),2)) AS o_meanvec,

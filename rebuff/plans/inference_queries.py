@@ -41,7 +41,7 @@ def _(v):
 DOSE = {"dev": """SELECT a_id, arm, i, p_block::DOUBLE AS intensity, pre_o, d_o, clean_lv AS pre_logvol, post_lv-clean_lv AS dvol, exp(post_lv)-1<0.5*(exp(clean_lv)-1) AS retreat FROM sout""",
         "dmed": "SELECT arm, quantile_cont(intensity,0.5) AS med FROM dev GROUP BY 1",
         "dz": "SELECT d.*, intensity>med AS heavy FROM dev d JOIN dmed m ON m.arm=d.arm"}
-DG = DOSE | {"dga": "SELECT DISTINCT a_id, arm FROM dev"} | boot("dgb", "dga", "a_id", "arm", 100) | {
+DG = DOSE | {"dga": "SELECT DISTINCT a_id, arm FROM dev"} | boot("dgb", "dga", "a_id", "arm") | {
     "dgr": "SELECT b.rep, d.* FROM dgb_d b JOIN dev d ON d.a_id=b.a_id AND d.arm=b.arm",
     "dgm": "SELECT arm, rep, quantile_cont(intensity,0.5) AS med FROM dgr GROUP BY 1,2",
     "dgs": """SELECT r.arm, r.rep, CASE WHEN count(*) FILTER (intensity>med)>=5 AND count(*) FILTER (intensity<=med)>=5 THEN avg(d_o) FILTER (intensity>med)-avg(d_o) FILTER (intensity<=med) END AS stat
@@ -51,25 +51,25 @@ DG = DOSE | {"dga": "SELECT DISTINCT a_id, arm FROM dev"} | boot("dgb", "dga", "
 @query("cluster_bootstrap", """SELECT arm, n_events, gap, ci_lo, ci_hi FROM (SELECT arm, count(*) AS n_events, avg(d_o) FILTER (heavy)-avg(d_o) FILTER (NOT heavy) AS gap FROM dz GROUP BY 1)
   JOIN (SELECT arm, quantile_cont(stat,0.025) AS ci_lo, quantile_cont(stat,0.975) AS ci_hi FROM dgs GROUP BY 1) USING (arm)""", "gap ci_lo ci_hi", ctes=DG)
 def _(v):
-    return I.dose_gap_bootstrap(I.dose_events(v.sobs), reps=100)
+    return I.dose_gap_bootstrap(I.dose_events(v.sobs))
 
 
-DC = {"dcs": "SELECT arm, date, sum(d_o) AS s, count(d_o) AS m FROM sout GROUP BY 1,2"} | boot("dcb", "dcs", "date", "arm", 500) | {
+DC = {"dcs": "SELECT arm, date, sum(d_o) AS s, count(d_o) AS m FROM sout GROUP BY 1,2"} | boot("dcb", "dcs", "date", "arm") | {
     "dcr": "SELECT arm, rep, sum(s)/sum(m) AS stat FROM dcb_d GROUP BY 1,2"}
 
 
 @query("date_cluster_bootstrap", """SELECT arm, mean, n_rows, n_clusters, largest_cluster_share, ci_lo, ci_hi FROM (SELECT arm, sum(s)/sum(m) AS mean, sum(m)::BIGINT AS n_rows, count(*) AS n_clusters, max(m)/sum(m) AS largest_cluster_share FROM dcs GROUP BY 1)
   JOIN (SELECT arm, quantile_cont(stat,0.025) AS ci_lo, quantile_cont(stat,0.975) AS ci_hi FROM dcr GROUP BY 1) USING (arm)""", "mean largest_cluster_share ci_lo ci_hi", ctes=DC)
 def _(v):
-    return I.cluster_mean_intervals(W.event_outcomes(v.sobs), "date", "d_o", ["arm"], reps=500)
+    return I.cluster_mean_intervals(W.event_outcomes(v.sobs), "date", "d_o", ["arm"])
 
 
-_sql, _c = mean_ci("i5", "lvu", "lv", "arm", reps=500, stat="quantile_cont(x,0.5)")
+_sql, _c = mean_ci("i5", "lvu", "lv", "arm", stat="quantile_cont(x,0.5)")
 
 
 @query("bootstrap_median_ci", _sql.replace("mean,", "mean AS median,", 1), "median ci_lo ci_hi", ctes=LOGV | _c)
 def _(v):
-    return median_intervals(volumes(v), "a_id", "lv", ["arm"], reps=500)
+    return median_intervals(volumes(v), "a_id", "lv", ["arm"])
 
 
 @query("wilson_interval", """SELECT a_id, k, n, greatest(0.0, 100*(c-h)) AS lo, least(100.0, 100*(c+h)) AS hi FROM (SELECT *, (k/n+1.96*1.96/(2*n))/(1+1.96*1.96/n) AS c,
@@ -160,7 +160,7 @@ def _(v):
     return I.periodicity(evasion_series(v), ["a_id", "arm"])
 
 
-RC = {"rcu": "SELECT a_id, count(*) AS k, avg(o) AS x, avg(score) AS y FROM sobs s JOIN sscores c USING (a_id,date) GROUP BY 1"} | boot("rcb", "rcu", "a_id", "", 100) | {
+RC = {"rcu": "SELECT a_id, count(*) AS k, avg(o) AS x, avg(score) AS y FROM sobs s JOIN sscores c USING (a_id,date) GROUP BY 1"} | boot("rcb", "rcu", "a_id") | {
     "rcx": "SELECT rep, x, y, rank() OVER (PARTITION BY rep ORDER BY x)+(count(*) OVER (PARTITION BY rep,x)-1)/2 AS rx, rank() OVER (PARTITION BY rep ORDER BY y)+(count(*) OVER (PARTITION BY rep,y)-1)/2 AS ry FROM rcb_d",
     "rco": "SELECT x, y, rank() OVER (ORDER BY x)+(count(*) OVER (PARTITION BY x)-1)/2 AS rx, rank() OVER (ORDER BY y)+(count(*) OVER (PARTITION BY y)-1)/2 AS ry FROM rcu"}
 
@@ -172,7 +172,7 @@ def score_units(v):
 @query("rank_correlation", """SELECT * FROM (SELECT count(*) AS n, corr(x,y) AS pearson_r, corr(rx,ry) AS spearman_rho FROM rco), (SELECT quantile_cont(s,0.025) AS ci_lo, quantile_cont(s,0.975) AS ci_hi
   FROM (SELECT rep, corr(rx,ry) AS s FROM rcx GROUP BY 1))""", "pearson_r spearman_rho ci_lo ci_hi", ctes=RC)
 def _(v):
-    return I.rank_correlation(score_units(v), "a_id", "x", "y", reps=100)
+    return I.rank_correlation(score_units(v), "a_id", "x", "y")
 
 
 @query("auc_mann_whitney", """SELECT n1 AS n_pos, n0 AS n_neg, u/(n1*n0) AS auc, u, (abs(u-n1*n0/2)-0.5)/sqrt(n1*n0/12*(n1+n0+1-ties/((n1+n0)*(n1+n0-1)))) AS z,

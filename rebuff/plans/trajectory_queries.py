@@ -122,14 +122,14 @@ def _(v):
 
 CR_COLS = [f"{k}_{f}" for k in "dz" for f in W.RESPONSE_FEATURES]
 CR = DELTAS | {"crl": f"SELECT a_id, label, measure, value FROM edelta UNPIVOT (value FOR measure IN ({', '.join(CR_COLS)}))"}
-_sql, _c = did("c13", "crl", "value", "bot", "human", "label", "measure", reps=500)
+_sql, _c = did("c13", "crl", "value", "bot", "human", "label", "measure")
 _sql = _sql.replace("n_a>=5 AND n_b>=5", "n_a>=1 AND n_b>=1")
 
 
 @query("class_response", _sql, DID_DOUBLES, ctes=CR | _c)
 def _(v):
     long = W.event_deltas(v.active).unpivot(["a_id", "label"], CR_COLS, "measure", "value")
-    return mean_difference(long, "a_id", "value", "label", "bot", "human", ["measure"], reps=500, min_n=1)
+    return mean_difference(long, "a_id", "value", "label", "bot", "human", ["measure"], min_n=1)
 
 
 SW_F = ["hits", *P.FEATURES]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rebuff.functions.distributed import exact_quantiles, number_units, ranked_values
-from rebuff.functions.resample import mean_difference, resample
+from rebuff.functions.resample import mean_difference, multiplicities
 from rebuff.operators import bridges as B, contract as Q, events as E, inference as I, leadlag as L, windows as W
 
 DAY0 = dt.date(2020, 1, 1)
@@ -35,7 +35,17 @@ def test_units_are_numbered_densely(spark):
     for g in "012":
         part = sorted(r.idx for r in rows if r.g == g)
         assert part == list(range(len(part)))
-    assert resample(df, "k", ["g"], reps=5).count() == 5000
+
+
+def test_replicate_weights_are_poisson_and_follow_the_cluster(spark):
+    df = spark.range(4000).select((F.col("id") % 2000).alias("k"), F.lit("g").alias("g"), F.col("id").alias("row"))
+    w = multiplicities(df, "k", ["g"], reps=10).toPandas()
+    assert set(w.rep) == set(range(1, 11))
+    assert w.groupby(["rep", "k"])._w.nunique().max() == 1 and w.groupby(["rep", "k"]).size().eq(2).all()
+    counts = w._w.value_counts() / 40_000
+    for k, p in ((1, 0.3679), (2, 0.1839), (3, 0.0613)):
+        assert abs(counts[k] - p) < 0.01
+    assert abs(w._w.sum() / 40_000 - 1) < 0.02
 
 
 def test_did_needs_five_per_arm_and_is_antisymmetric(spark):
