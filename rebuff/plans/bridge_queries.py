@@ -10,7 +10,7 @@ from rebuff.plans.event_queries import BX, PD, is_arm
 from rebuff.plans.registry import query
 from rebuff.session import materialize
 
-CAP, REPS, DRAWS = 30, 2000, 200
+CAP, REPS, DRAWS = B.POP_CAP, 2000, 200
 
 
 def cand_sql(p: str, deaths: str) -> dict[str, str]:
