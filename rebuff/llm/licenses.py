@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rebuff.llm.common import broadcast_if_small, materialize, text_key
+from rebuff.llm.license_digests import DIGESTS
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -70,8 +71,11 @@ def digest(lines: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    rows = spark.createDataFrame(texts or KNOWN, "license string, text string")
-    return rows.select("license", digest(normalised(F.col("text"))).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+    """(digest, license) of the given texts, or of ``KNOWN`` and ``DIGESTS``."""
+    rows = spark.createDataFrame(texts or KNOWN, "license string, text string").select("license", digest(normalised(F.col("text"))).alias("digest"))
+    if not texts:
+        rows = rows.unionByName(spark.createDataFrame([(n, d) for n, ds in DIGESTS.items() for d in ds], "license string, digest string"))
+    return rows.where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
