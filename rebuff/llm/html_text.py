@@ -32,6 +32,10 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|ifr
                     r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+#: Names that tell of a layout with or without furniture, not of furniture: with-sidebar, no-comments.
+_LAYOUT = re.compile(r"(?<![^\s])(?:with|without|no|has|hide|show)[-_][^\s]*")
+#: Depth that an element counts for if more than a class word marks it.
+HARD = 2
 FEATURES = ("words", "link_density", "before_words", "before_density", "after_words", "after_density", "furniture", "article", "list_item")
 
 #: The labelled table: every block's text starts with + (main text) or - (the rest).
@@ -68,13 +72,13 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     linked: list[str] = []
     stack: list[tuple[str, int, bool]] = []     # tag, furniture, article
     furniture = depth_a = 0
-    article = item = False
+    article = item = para = seen = False       # para: a marked p is open; seen: there was an article or main
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             links = len(" ".join(html.unescape(" ".join(linked)).split())) if linked else 0
-            found.append([text, links, furniture, article, item])
+            found.append([text, links, furniture + para, article, item])
         parts.clear()
         linked.clear()
 
@@ -105,6 +109,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 furniture -= stack.pop()[1]
             continue
         flush()
+        para = tag == "p" and not closing and _marked(tag, m.group(4), article)
         if tag in VOID or m.group(0).endswith("/>"):
             continue
         if closing:
@@ -118,7 +123,13 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             item = False
             depth_a = 0
         elif tag not in ("p", "body", "html"):
-            own = int(_marked(tag, m.group(4), article))
+            main = tag in ("article", "main") and not seen
+            if main:        # class words mark neither the page's first article or main nor what is around it
+                seen = True
+                stack = [(name, o if o == HARD else 0, was) for name, o, was in stack]
+                furniture = sum(o for _, o, _ in stack)
+            hard = _marked(tag, m.group(4), article, False)
+            own = HARD if hard else int(not main and _marked(tag, m.group(4), article))
             stack.append((tag, own, article))
             furniture += own
             article = article or tag in ("article", "main")
@@ -134,7 +145,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     return out
 
 
-def _marked(tag: str, attributes: str | None, in_article: bool) -> bool:
+def _marked(tag: str, attributes: str | None, in_article: bool, by_words: bool = True) -> bool:
     """Whether an element is page furniture by its tag, role, class, id or because it is hidden."""
     if tag in FURNITURE_TAGS and not (tag == "header" and in_article):
         return True
@@ -146,7 +157,7 @@ def _marked(tag: str, attributes: str | None, in_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and FURNITURE_WORDS.intersection(_SPLIT.split(value)):
+        if by_words and name in ("class", "id") and FURNITURE_WORDS.intersection(_SPLIT.split(_LAYOUT.sub(" ", value))):
             return True
     return False
 
