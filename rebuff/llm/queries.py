@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rebuff.llm import chat, decontaminate, html_text, language, licenses, pieces, quality, shards, simhash, suffix_repeats
-from rebuff.llm.common import table, text_key
+from rebuff.llm import chat, decontaminate, fill_middle, html_text, language, licenses, periodic, pieces, quality, shards, simhash, suffix_repeats
+from rebuff.llm.common import table, text_key, words
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARDS = 8
@@ -84,8 +84,33 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each text and the text without their repeats. A tenth of the texts, dealt by a checksum of the id, first get a periodic tail."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words(F.col("text"))).alias("w"))
+    d = d.withColumn("n", F.size("w").cast("long")).withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, cast(a + 1 as int), cast(p as int)), cast((n - a) div p + 1 as int))), 1, cast(n - a as int))")
+    d = d.withColumn("text", F.when(F.expr("h % 10 = 0 and n > 0"), F.array_join(F.concat(F.expr("slice(w, 1, cast(a as int))"), tail), " ")).otherwise(F.col("text")))
+    r = periodic.find_runs(d)
+    best = F.array_max(F.transform("runs", lambda x: F.struct((x["length"] * 1.0 / x["period"]).alias("e"), (-x["start"]).alias("s"), (-x["period"]).alias("p"), x["length"].alias("l"))))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])), "\n")
+    r = r.withColumn("best", best).withColumn("lines", F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""))
+    start, length, period = -F.col("best.s"), F.col("best.l"), -F.col("best.p")
+    return r.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+                    F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.encode("lines", "UTF-8"), 256).alias("runs_sha256"),
+                    F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restore(F.col("fim.text"), F.col("fim.form"))
+    return f.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2(F.encode("fim.text", "UTF-8"), 256).alias("output_sha256"),
+                    F.sha2(F.encode(back, "UTF-8"), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_formatting, "op2_kd_sharding": sharding, "op3_license_scan": license_scan, "op4_sentencepiece": sentencepiece,
     "op5_html_extraction": html_extraction, "op6_decontamination": decontamination, "op7_simhash": simhash_groups, "op8_quality_rules": quality_rules,
     "op9_suffix_dedup": suffix_dedup, "op10_language_id": language_id,
+    "op12_periodic_runs": periodic_runs, "op13_fill_in_middle": fill_in_middle,
 }
