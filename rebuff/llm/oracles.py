@@ -56,4 +56,14 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefi
 FROM p
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": CHAT, "op6_decontamination": DECONTAMINATION, "op13_fill_in_middle": FILL_MIDDLE}
+#: Op 11: owners by a window over equal payloads, base32 from five bits at a time.
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (5 * (7 - i % 8))::INT) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM o
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": CHAT, "op6_decontamination": DECONTAMINATION, "op11_warc": WARC, "op13_fill_in_middle": FILL_MIDDLE}

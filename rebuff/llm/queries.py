@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rebuff.llm import chat, decontaminate, fill_middle, html_text, language, licenses, periodic, pieces, quality, shards, simhash, suffix_repeats
-from rebuff.llm.common import table, text_key, words
+from rebuff.llm import chat, decontaminate, fill_middle, html_text, language, licenses, periodic, pieces, quality, shards, simhash, suffix_repeats, warc
+from rebuff.llm.common import scratch_path, table, text_key, words
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARDS = 8
@@ -84,6 +84,13 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an archive, read back from the archives."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of each text and the text without their repeats. A tenth of the texts, dealt by a checksum of the id, first get a periodic tail."""
     h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
@@ -112,5 +119,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_formatting, "op2_kd_sharding": sharding, "op3_license_scan": license_scan, "op4_sentencepiece": sentencepiece,
     "op5_html_extraction": html_extraction, "op6_decontamination": decontamination, "op7_simhash": simhash_groups, "op8_quality_rules": quality_rules,
     "op9_suffix_dedup": suffix_dedup, "op10_language_id": language_id,
-    "op12_periodic_runs": periodic_runs, "op13_fill_in_middle": fill_in_middle,
+    "op11_warc": warc_archives, "op12_periodic_runs": periodic_runs, "op13_fill_in_middle": fill_in_middle,
 }
