@@ -40,7 +40,9 @@ from rebuff.llm.common import materialize, spread
 
 RANGE_BYTES = 16 << 20
 ROLL_BYTES = 2 << 20
-SAMPLE_PER_RANGE = 16
+SAMPLE_PER_RANGE = 128
+#: Bound of the sample on the driver. More ranges than a sample of this size serves well only get less even.
+MAX_SAMPLE = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "name string, range int, records long, bytes long, sha256 string"
@@ -122,12 +124,12 @@ def _order(url: str | None, page_id: int | None, key: str) -> tuple:
 
 
 def range_bounds(narrow: DataFrame, range_bytes: int) -> list[tuple]:
-    """Upper-exclusive bounds between ranges of near equal bytes, at most ``SAMPLE_PER_RANGE`` sampled rows per range on the driver."""
+    """Upper-exclusive bounds between ranges of near equal bytes, from at most ``SAMPLE_PER_RANGE`` rows per range and ``MAX_SAMPLE`` in all."""
     total, n = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     ranges = -(-total // range_bytes)
     if ranges < 2:
         return []
-    want = SAMPLE_PER_RANGE * ranges
+    want = min(SAMPLE_PER_RANGE * ranges, MAX_SAMPLE)
     hashed = narrow.withColumn("h", F.expr("pmod(xxhash64(url, page_id, key), 4294967296L)"))
     if 4 * want < n:                           # few enough to be shuffled, and enough whatever the luck
         hashed = hashed.where(F.col("h") < int(4 * want / n * 2**32))
