@@ -1,14 +1,15 @@
 """Lead-lag between friction and response: cross-correlations, peaks, shift nulls, censoring."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rebuff.functions.distributed import exact_quantiles
 from rebuff.functions.expressions import draw, safe_div
+from rebuff.functions.lagged import TINY, lag_curve, masked_curve, rotation_peaks, standardized
 from rebuff.operators import inference as I
 from rebuff.operators.panel import densify_calendar
 from rebuff.session import materialize
@@ -16,8 +17,6 @@ from rebuff.session import materialize
 LAG_MAX = 14
 SHIFT_MIN = 15
 MIN_DAYS, MIN_BLOCK_DAYS = 30, 3
-TINY = 1e-9
-LAGS = range(-LAG_MAX, LAG_MAX + 1)
 #: Density bands of an agent's calendar.
 DENSE, MID = 0.50, 0.25
 
@@ -40,7 +39,15 @@ def active_series(idx: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def calendar_series(idx: DataFrame, members: DataFrame) -> DataFrame:
-    """Zero-filled calendar: a day without requests is a real zero for both rates."""
+    """Observed days of the calendar, i counted from 1970. A day without requests is a real zero for both
+    rates; such days are filled in where the series is an array."""
+    def rate(c):
+        return F.when(F.col("hits") > 0, F.col(c) / F.col("hits")).otherwise(F.lit(0.0))
+    return _members(idx, members).select("a_id", F.datediff("date", F.lit("1970-01-01")).cast("long").alias("i"), rate("c404").alias("r"), rate("cblock").alias("f"))
+
+
+def dense_calendar(idx: DataFrame, members: DataFrame) -> DataFrame:
+    """``calendar_series`` with a row for every day, i from 0: the long form, for checks that go another way."""
     d = densify_calendar(_members(idx, members), ["hits", "c404", "cblock"])
     def rate(c):
         return F.when(F.col("hits") > 0, F.col(c) / F.col("hits")).otherwise(F.lit(0.0))
@@ -48,41 +55,51 @@ def calendar_series(idx: DataFrame, members: DataFrame) -> DataFrame:
     return d.select("a_id", (F.row_number().over(w) - 1).cast("long").alias("i"), rate("c404").alias("r"), rate("cblock").alias("f"))
 
 
-def _long(wide: DataFrame) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"c_{k + LAG_MAX}").alias("ccf")) for k in LAGS])
-    return wide.select("a_id", F.explode(cells).alias("c")).select("a_id", "c.*")
+def _arrays(series: DataFrame) -> DataFrame:
+    """One row per agent, at most one value per day in it, and the span n. Agents are spread over all tasks
+    before they are gathered, since the work behind them is larger than the rows are."""
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return series.repartition(parts, "a_id").groupBy("a_id").agg(
+        F.collect_list(F.struct(F.col("i").cast("long").alias("i"), F.col("r").cast("double").alias("r"), F.col("f").cast("double").alias("f"))).alias("days"),
+        (F.max("i") - F.min("i") + 1).cast("long").alias("n"))
+
+
+def _grids(days: pa.ListArray, missing: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(r, f) of every agent of a batch on its span of days; days without a row get ``missing``."""
+    bounds = days.offsets.to_numpy() - days.offsets[0].as_py()
+    flat = days.flatten()
+    i, r, f = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        at = i[a:b] - i[a:b].min()
+        grid = np.full((2, at.max() + 1), missing)
+        grid[0, at], grid[1, at] = r[a:b], f[a:b]
+        yield grid[0], grid[1]
+
+
+def _curves(series: DataFrame, curve: Callable, missing: float) -> DataFrame:
+    """(a_id, lag, ccf) for the agents that have a curve."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lags = np.arange(-LAG_MAX, LAG_MAX + 1)
+        for b in batches:
+            curves = [curve(r, f) for r, f in _grids(b.column(1), missing)]
+            held = [k for k, c in enumerate(curves) if c is not None]
+            values = np.concatenate([curves[k] for k in held]) if held else np.empty(0)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(held, len(lags)).astype(np.int64))), pa.array(np.tile(lags, len(held)), pa.int64()),
+                                              pa.array(values, pa.float64(), mask=np.isnan(values))], ["a_id", "lag", "ccf"])
+    return _arrays(series).select("a_id", "days").mapInArrow(run, f"a_id {series.schema['a_id'].dataType.simpleString()}, lag long, ccf double")
 
 
 def ccf(series: DataFrame) -> DataFrame:
-    """Normalised cross-correlation of response on friction; positive lag = response follows.
-
-    The 29 lags are lag/lead columns of one window and one aggregation: no row is multiplied and
-    nothing is joined."""
-    w = Window.partitionBy("a_id")
-    d = series.withColumns({"_sr": F.stddev_pop("r").over(w), "_sf": F.stddev_pop("f").over(w),
-                            "_mr": F.avg("r").over(w), "_mf": F.avg("f").over(w)}).where((F.col("_sr") >= TINY) & (F.col("_sf") >= TINY))
-    d = d.select("a_id", "i", ((F.col("r") - F.col("_mr")) / (F.col("_sr") + TINY)).alias("zr"),
-                 ((F.col("f") - F.col("_mf")) / (F.col("_sf") + TINY)).alias("zf"))
-    o = w.orderBy("i")
-    d = d.withColumns({f"_f_{k + LAG_MAX}": (F.lag("zf", k) if k >= 0 else F.lead("zf", -k)).over(o) for k in LAGS})
-    wide = d.groupBy("a_id").agg(*[(F.sum(F.col("zr") * F.col(f"_f_{k + LAG_MAX}")) / F.count(F.lit(1))).alias(f"c_{k + LAG_MAX}") for k in LAGS])
-    return _long(wide)
+    """Normalised cross-correlation of response on friction; positive lag = response follows. Days missing
+    inside an agent's span are zero. An agent's 29 lags are one matrix product on its array."""
+    return _curves(series, lambda r, f: lag_curve(r, f, LAG_MAX), 0.0)
 
 
 def ccf_masked(idx: DataFrame, members: DataFrame, min_shared: int = 10) -> DataFrame:
     """Pairwise-complete version: each lag uses only dates observed in both series, with its own
-    moments. The friction of exactly k days earlier is a one-day range frame, so the calendar is
-    never filled in."""
-    d = _members(idx, members).select("a_id", F.datediff("date", F.lit("1970-01-01")).alias("dn"), F.col("p404").alias("r"), F.col("p_block").alias("f"))
-    w = Window.partitionBy("a_id").orderBy("dn")
-    d = d.withColumns({f"_f_{k + LAG_MAX}": F.max("f").over(w.rangeBetween(-k, -k)) for k in LAGS})
-    aggs = []
-    for k in LAGS:
-        f = F.col(f"_f_{k + LAG_MAX}")
-        r = F.when(f.isNotNull(), F.col("r"))
-        ok = (F.count(f) >= min_shared) & (F.stddev_pop(r) >= TINY) & (F.stddev_pop(f) >= TINY)
-        aggs.append(F.when(ok, F.covar_pop(r, f) / (F.stddev_pop(r) * F.stddev_pop(f))).alias(f"c_{k + LAG_MAX}"))
-    return _long(d.groupBy("a_id").agg(*aggs))
+    moments; the array's missing days are the mask."""
+    d = _members(idx, members).select("a_id", F.datediff("date", F.lit("1970-01-01")).alias("i"), F.col("p404").alias("r"), F.col("p_block").alias("f"))
+    return _curves(d, lambda r, f: masked_curve(r, f, LAG_MAX, min_shared), np.nan)
 
 
 def peaks(curves: DataFrame, keys: Sequence[str] = ("a_id",)) -> DataFrame:
@@ -120,48 +137,39 @@ def leadlag_summary(p: DataFrame, by: Sequence[str] = ("pop", "indexing"), min_n
 def shift_null(series: DataFrame, members: DataFrame, reps: int = 999, seed=42) -> DataFrame:
     """Per agent and replicate: friction rotated by U[15, n-15], peaks recomputed.
 
-    One row per agent carries its calendar (at most one value per day) and its offsets; numpy turns
-    a replicate into 28 dot products inside the task. Spark spreads the agents.
-    """
+    One transform per agent gives the peaks at all offsets, so a replicate is a lookup and their number
+    hardly matters; Spark spreads the agents."""
     n = F.col("n")
-    a = series.groupBy("a_id").agg(F.sort_array(F.collect_list(F.struct("i", "r", "f"))).alias("_s"), F.count(F.lit(1)).alias("n"),
-                                   F.stddev_pop("r").alias("_sr"), F.stddev_pop("f").alias("_sf"))
-    a = a.where((n >= 2 * SHIFT_MIN) & (F.col("_sr") > TINY) & (F.col("_sf") > TINY)).join(members.select("a_id", "pop", "density"), "a_id")
+    a = _arrays(series).where(n >= 2 * SHIFT_MIN).join(members.select("a_id", "pop", "density"), "a_id")
     offsets = F.transform(F.sequence(F.lit(1), F.lit(reps)), lambda rep: draw(seed, n - 2 * SHIFT_MIN + 1, F.col("a_id"), rep) + SHIFT_MIN)
-    a = a.select("a_id", "pop", "density", F.col("_s.r").alias("r"), F.col("_s.f").alias("f"), offsets.alias("offsets"))
-    # Arrays are compact but replicates multiply the work, so agents are spread before it.
-    a = a.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a_id")
-
-    def rotate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        post, pre = np.arange(1, LAG_MAX + 1), np.arange(-LAG_MAX, 0)
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                r, f, off = np.asarray(row.r, float), np.asarray(row.f, float), np.asarray(row.offsets, int)
-                size = len(r)
-                r, f = (r - r.mean()) / (r.std() + TINY), (f - f.mean()) / (f.std() + TINY)
-                best = {}
-                rolled = np.stack([np.roll(f, o) for o in off])
-                for side, lags in (("post", post), ("pre", pre)):
-                    c = np.stack([(rolled[:, :size - k] @ r[k:] if k > 0 else rolled[:, -k:] @ r[:size + k]) / size for k in lags])
-                    at = np.abs(c).argmax(axis=0)
-                    best[side] = (lags[at], np.abs(c[at, np.arange(len(off))]))
-                responder = best["post"][1] > best["pre"][1]
-                yield pd.DataFrame({
-                    "a_id": row.a_id, "pop": row.pop, "density": row.density, "rep": np.arange(1, len(off) + 1), "responder": responder,
-                    "resp_lag": pd.array(np.where(responder, best["post"][0], 0), dtype="Int64").copy(),
-                    "lead_lag": pd.array(np.where(responder, 0, np.abs(best["pre"][0])), dtype="Int64"), "abs_ccf": best["post"][1]})
-
-    out = a.mapInPandas(rotate, "a_id long, pop string, density double, rep int, responder boolean, resp_lag long, lead_lag long, abs_ccf double")
-    return out.withColumns({"resp_lag": F.when(F.col("responder"), F.col("resp_lag")), "lead_lag": F.when(~F.col("responder"), F.col("lead_lag"))})
+    a = a.select("a_id", "pop", "density", "days", offsets.alias("offsets"))
+
+    def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, (r, f) in enumerate(_grids(b.column("days"), 0.0)):
+                r, f = standardized(r), standardized(f)
+                if r is None or f is None:
+                    continue
+                off = np.array(b.column("offsets")[k].values)
+                post_lag, post, pre_lag, pre = (x[off] for x in rotation_peaks(r, f, LAG_MAX))
+                responder = post > pre
+                same = b.slice(k, 1).select(["a_id", "pop", "density"]).columns
+                yield pa.RecordBatch.from_arrays([
+                    *[pa.repeat(c[0], len(off)) for c in same], pa.array(np.arange(1, len(off) + 1), pa.int32()), pa.array(responder),
+                    pa.array(post_lag, pa.int64(), mask=~responder), pa.array(-pre_lag, pa.int64(), mask=responder), pa.array(post)],
+                    ["a_id", "pop", "density", "rep", "responder", "resp_lag", "lead_lag", "abs_ccf"])
+    kind = {f.name: f.dataType.simpleString() for f in a.schema.fields}
+    return a.mapInArrow(rotate, f"a_id {kind['a_id']}, pop {kind['pop']}, density double, rep int, responder boolean, resp_lag long, lead_lag long, abs_ccf double")
 
 
 def null_replicates(null: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, rep): responder share and medians of the replicate's lags and |ccf|."""
+    """(by, rep): responder share and medians of the replicate's lags and |ccf|. Lags have few values, so they
+    are counted before they move."""
     keys = [*by, "rep"]
-    t = null.groupBy(*keys).agg(F.avg(F.col("responder").cast("double")).alias("share"), F.count(F.lit(1)).alias("n_h"))
-    for c in ("resp_lag", "lead_lag", "abs_ccf"):
-        t = t.join(exact_quantiles(null, c, {f"m_{c}": 0.5}, keys).drop("n"), keys, "left")
-    return t
+    lags = null.groupBy(*keys, "resp_lag", "lead_lag").agg(F.count(F.lit(1)).alias("_n"), F.count_if("responder").alias("_r"))
+    t = lags.groupBy(*keys).agg((F.sum("_r") / F.sum("_n")).alias("share"), F.sum("_n").alias("n_h"),
+                                *[F.percentile(c, F.lit(0.5), F.col("_n")).alias(f"m_{c}") for c in ("resp_lag", "lead_lag")])
+    return t.join(exact_quantiles(null, "abs_ccf", {"m_abs_ccf": 0.5}, keys).drop("n"), keys, "left")
 
 
 def null_summary(null: DataFrame, p: DataFrame, by: Sequence[str] = ("pop",)) -> DataFrame:

@@ -8,7 +8,7 @@ from rebuff.oracle.ctes import draw_sql
 from rebuff.plans.registry import query
 from rebuff.session import materialize, scratch_path
 
-REPS = 19
+REPS = 999
 SUMMARY = "n, n_responders, n_leaders, n_responders/n AS responder_share, tau_a, tau_d, tau_a+tau_d AS loop, median_abs_ccf"
 
 
@@ -50,8 +50,14 @@ LL |= ccf_sql("cca", "lact") | ccf_sql("ccc", "lcal") | {
       FROM sidx a CROSS JOIN lags JOIN sidx b ON b.a_id=a.a_id AND b.date=a.date-lag::INTEGER WHERE a.a_id IN (SELECT a_id FROM coh) GROUP BY 1,2)""",
     "nrep": f"SELECT unnest(generate_series(1,{REPS})) AS rep",
     "nsz": "SELECT a_id, n, 15+" + draw_sql("n-29", "a_id", "rep") + " AS off, rep FROM (SELECT a_id, max(n) AS n FROM ccc_z GROUP BY 1 HAVING max(n)>=30), nrep",
-    "nrl": "SELECT v.a_id, s.rep, v.n, v.x, v.y[v.n-s.off+1:v.n] || v.y[1:v.n-s.off] AS y FROM ccc_v v JOIN nsz s ON s.a_id=v.a_id",
-    "ncc": f"SELECT a_id, rep, lag::BIGINT AS lag, {DOT} AS ccf FROM nrl CROSS JOIN lags"} | peaks_sql("ncp", "ncc", "a_id,rep") | {
+    # Circular sums at every offset from pairs of days with values, then the pairs that reach around the end off again, lag by lag.
+    "nst": "SELECT a_id, n, mr, mf, (sr+1e-9)*(sf+1e-9) AS q FROM (SELECT a_id, count(*) AS n, avg(r) AS mr, avg(f) AS mf, stddev_pop(r) AS sr, stddev_pop(f) AS sf FROM lcal GROUP BY 1) WHERE n>=30 AND sr>=1e-9 AND sf>=1e-9",
+    "npr": "SELECT x.a_id, (x.i-y.i+n)%n AS s, sum(x.r*y.f) AS rf FROM lcal x JOIN lcal y ON y.a_id=x.a_id AND x.r<>0 AND y.f<>0 JOIN nst ON nst.a_id=x.a_id GROUP BY 1,2",
+    "nci": "SELECT a_id, s, n, (coalesce(rf,0)-n*mr*mf)/q AS c FROM (SELECT *, unnest(range(n)) AS s FROM nst) LEFT JOIN npr USING (a_id,s)",
+    "ned": """SELECT x.a_id, x.n, (x.i-y.i+x.n)%x.n AS s, CASE WHEN x.i<14 THEN x.i+1 ELSE x.i-x.n END AS lag, x.zr*y.zf AS v FROM ccc_z x JOIN ccc_z y ON y.a_id=x.a_id WHERE x.n>=30 AND (x.i<14 OR x.i>=x.n-14)""",
+    "new": "SELECT a_id, n, s, lag, sum(v) OVER (PARTITION BY a_id, s, lag>0 ORDER BY abs(lag)) AS w FROM ned",
+    "ncc": "SELECT w.a_id, (w.s-lag+w.n)%w.n AS off, lag::BIGINT AS lag, (c-w)/w.n AS ccf FROM new w JOIN nci ON nci.a_id=w.a_id AND nci.s=w.s WHERE EXISTS (FROM nsz z WHERE z.a_id=w.a_id AND z.off=(w.s-lag+w.n)%w.n)"} | peaks_sql("nco", "ncc", "a_id,off") | {
+    "ncp": "SELECT nco.*, rep FROM nsz JOIN nco ON nco.a_id=nsz.a_id AND nco.off=nsz.off",
     "lnull": """SELECT p.a_id, pop, density, rep::INTEGER AS rep, responder, CASE WHEN responder THEN post_lag END AS resp_lag, CASE WHEN NOT responder THEN abs(pre_lag) END AS lead_lag, abs(post_ccf) AS abs_ccf
       FROM ncp p JOIN coh c ON c.a_id=p.a_id"""}
 
@@ -173,13 +179,18 @@ def _(v):
     return R.stratified_sample(members(v).select("a_id", "pop"), "pop", 10)
 
 
-@query("recompute_match", "SELECT count(*) AS n, 1.0::DOUBLE AS ccf_match, 1.0::DOUBLE AS responder_match FROM ccc_p", ctes=LL)
+AGAIN = {"rmx": "SELECT a_id, n, zr, lag, i-lag AS j FROM (SELECT *, unnest(generate_series(-14,14)) AS lag FROM ccc_z)",
+         "rmc": "SELECT x.a_id, lag::BIGINT AS lag, sum(x.zr*y.zf)/max(x.n) AS ccf FROM rmx x JOIN ccc_z y ON y.a_id=x.a_id AND y.i=x.j GROUP BY 1,2"} | peaks_sql("rmp", "rmc")
+
+
+@query("recompute_match", """SELECT count(*) AS n, avg((abs(p.post_ccf-q.post_ccf)<1e-9)::INT) AS ccf_match, avg((p.responder=q.responder)::INT) AS responder_match
+  FROM ccc_p p JOIN rmp q ON q.a_id=p.a_id""", ctes=LL | AGAIN)
 def _(v):
     m, s, p = calendar(v)
     path = scratch_path(v.spark, "peaks")
     p.where("post_ccf is not null").write.parquet(path)
-    z = s.withColumnRenamed("f", "f0")
-    # The check goes another way: an equi-join on the shifted index instead of window offsets.
+    z = L.dense_calendar(v.sidx, m).withColumnRenamed("f", "f0")
+    # The check goes another way: an equi-join on the shifted index instead of arrays.
     w = {c: F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"_{c}") for c in ("r", "f0")}
     st = z.groupBy("a_id").agg(*w.values(), F.count(F.lit(1)).alias("n"))
     d = z.join(st, "a_id").select("a_id", "i", "n", ((F.col("r") - F.col("_r.m")) / (F.col("_r.s") + 1e-9)).alias("zr"),
