@@ -1,14 +1,16 @@
 """Statistics and inference: resampling, trend and change-point tests, survival, ranks, dose, matching."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rebuff.functions.distributed import average_ranks, exact_quantiles, range_bins, ranked_values
 from rebuff.functions.expressions import Z95, safe_div, solve
+from rebuff.functions.ranks import kendall_p, kendall_scores, tie_sums, u_p
 from rebuff.functions.resample import REPLICATES, interval, multiplicities, weighted
 from rebuff.session import materialize
 
@@ -57,35 +59,50 @@ def _series(long: DataFrame, keys: list[str]) -> DataFrame:
         "flat": F.max(F.abs(F.col("value") - F.col("_x0"))).over(w) <= 1e-8 + 1e-5 * F.abs("_x0")})
 
 
-def mann_kendall(long: DataFrame, keys: Sequence[str], min_n: int = 8) -> DataFrame:
-    """Kendall's tau-b against time order, without pairs.
+def mann_kendall(long: DataFrame, keys: Sequence[str], min_n: int = 8, alpha: float = 0.05) -> DataFrame:
+    """Kendall's tau-b against time order with its p-value and, where p < ``alpha``, the direction.
 
-    Ranks are split bit by bit: two observations first differ at one bit, inside one rank prefix, so
-    counting earlier zeros (ones) per (bit, prefix) counts every concordant (discordant) pair once.
-    n log n rows replace n^2 pairs. Significance uses the tie-corrected normal approximation.
-    """
+    A series (one value per day at most) is one array; the series of an Arrow batch are merged together, so pairs
+    are counted without being formed. Short series without ties get their exact p. Values that are not finite are left out."""
     keys = list(keys)
-    d = _series(long, keys)
-    w = Window.partitionBy(*keys)
-    d = d.withColumn("r", F.dense_rank().over(w.orderBy("value")) - 1)
-    d = d.withColumn("_top", F.length(F.bin(F.max("r").over(w).cast("long"))) - 1)
-    bits = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("_top"))))
-    bits = bits.withColumn("_p", F.expr("shiftright(r, b + 1)")).withColumn("_bit", F.expr("shiftright(r, b) & 1"))
-    seen = Window.partitionBy(*keys, "b", "_p").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    ones = F.coalesce(F.sum("_bit").over(seen), F.lit(0))
-    zeros = F.coalesce(F.sum(1 - F.col("_bit")).over(seen), F.lit(0))
-    base = F.col("b") == 0
-    t = F.col("t").cast("double")
-    a = bits.withColumn("_s", F.when(F.col("_bit") == 1, zeros).otherwise(-ones)).groupBy(*keys).agg(
-        F.sum("_s").alias("s"), F.max("n").alias("n"), F.max("flat").alias("flat"),
-        F.sum(F.when(base, t - 1)).alias("_t1"), F.sum(F.when(base, (t - 1) * (2 * t + 5))).alias("_t2"))
-    n = F.col("n").cast("double")
-    pairs = n * (n - 1) / 2
-    usable = (F.col("n") >= min_n) & ~F.col("flat")
-    tau = F.when(usable, F.col("s") / F.sqrt(pairs * (pairs - F.col("_t1") / 2))).otherwise(F.lit(0.0))
-    z = F.col("s") / F.sqrt((n * (n - 1) * (2 * n + 5) - F.col("_t2")) / 18)
-    direction = F.when(usable & (F.abs(z) > Z95), F.signum("s").cast("int")).otherwise(F.lit(0))
-    return a.select(*keys, "n", tau.alias("tau"), direction.alias("direction"))
+    parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = long.where(F.col("value").isNotNull()).select(*keys, F.struct(F.col("i").cast("long").alias("i"), F.col("value").cast("double").alias("value")).alias("_v"))
+    a = d.repartition(parts, *keys).groupBy(*keys).agg(F.collect_list("_v").alias("_a"))
+
+    def bounded(batches: Iterator[pa.RecordBatch], values: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+        """Slices of whole series with about so many values, or a single longer one."""
+        for b in batches:
+            ends = np.cumsum(np.diff(b.column(len(keys)).offsets.to_numpy()))
+            at = 0
+            while at < len(b):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + values, "right")))
+                yield b.slice(at, to - at)
+                at = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches):
+            lists = b.column(len(keys))
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            at, x = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            order = np.lexsort((at, owner))
+            order = order[np.isfinite(x[order])]
+            x, owner = x[order], owner[order]
+            n = np.bincount(owner, minlength=len(lists))
+            bounds = np.concatenate(([0], np.cumsum(n)))
+            score, (ties, spread) = kendall_scores(x, bounds), tie_sums(x, bounds)
+            rows = []
+            for k, size in enumerate(n.tolist()):
+                part = x[bounds[k]:bounds[k + 1]]
+                if size < min_n or np.allclose(part, part[0]):
+                    rows.append((size, 0.0, 1.0, 0))
+                    continue
+                pairs, p = size * (size - 1) / 2, kendall_p(size, int(score[k]), ties[k], spread[k])
+                rows.append((size, score[k] / np.sqrt(pairs * (pairs - ties[k] / 2)), p, int(np.sign(score[k])) if p < alpha else 0))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.int32()))]],
+                                             [*keys, "n", "tau", "p_value", "direction"])
+    schema = ", ".join(f"`{k}` {long.schema[k].dataType.simpleString()}" for k in keys)
+    return a.mapInArrow(run, f"{schema}, n long, tau double, p_value double, direction int")
 
 
 def pettitt(long: DataFrame, keys: Sequence[str], min_n: int = 10, alpha: float = 0.05) -> DataFrame:
@@ -208,7 +225,8 @@ def rank_correlation(units: DataFrame, key: str, x: str, y: str, reps: int = REP
 
 
 def auc_mann_whitney(units: DataFrame, value: str, positive: Column) -> DataFrame:
-    """AUC, U-test (tie-corrected normal approximation with continuity) and medians of two clusters."""
+    """AUC, U-test and medians of two clusters. z is the tie-corrected normal score with continuity; the p-value is
+    exact where one cluster is small and nothing ties."""
     u = materialize(units.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"), positive.cast("int").alias("pos")))
     c = u.groupBy("x").agg(F.sum("pos").alias("p"), F.count(F.lit(1)).alias("c"))
     r = average_ranks(u, "x").join(c, "x")
@@ -222,7 +240,10 @@ def auc_mann_whitney(units: DataFrame, value: str, positive: Column) -> DataFram
     uu = F.col("r1") - n1 * (n1 + 1) / 2
     sigma = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     z = (F.abs(uu - n1 * n0 / 2) - 0.5) / sigma
-    return a.crossJoin(F.broadcast(med)).select("n_pos", "n_neg", (uu / (n1 * n0)).alias("auc"), uu.alias("u"), z.alias("z"),
+    def p(u: pa.Array, n1: pa.Array, n0: pa.Array, ties: pa.Array) -> pa.Array:
+        return pa.array([u_p(*x) for x in zip(u.to_pylist(), n1.to_pylist(), n0.to_pylist(), ties.to_pylist())], pa.float64())
+    p_value = F.arrow_udf(p, "double")(uu, "n_pos", "n_neg", "ties")        # of one row
+    return a.crossJoin(F.broadcast(med)).select("n_pos", "n_neg", (uu / (n1 * n0)).alias("auc"), uu.alias("u"), z.alias("z"), p_value.alias("p_value"),
                                                 (z > Z95).alias("significant"), "median_pos", "median_neg")
 
 

@@ -130,9 +130,17 @@ def nonstationarity(active: DataFrame, features: Sequence[str] = TEST_FEATURES,
     """Per agent and feature: trend direction, tau, change point, effect and place in life."""
     keys = [*keys, "feature"]
     long = materialize(unpivot(active, [k for k in keys if k != "feature"] + ["i"], list(features)))
-    cp = materialize(I.pettitt(long, keys))
-    trend = I.mann_kendall(long, keys)
-    return trend.join(I.changepoint_effect(long, cp, keys), keys)
+    return I.mann_kendall(long, keys).join(_changepoints(long, keys), keys)
+
+
+def _changepoints(long: DataFrame, keys: list[str]) -> DataFrame:
+    return I.changepoint_effect(long, materialize(I.pettitt(long, keys)), keys)
+
+
+def changepoints(active: DataFrame, features: Sequence[str] = TEST_FEATURES, keys: Sequence[str] = ("a_id", "label")) -> DataFrame:
+    """The change-point half of ``nonstationarity``, without trends."""
+    keys = [*keys, "feature"]
+    return _changepoints(materialize(unpivot(active, [k for k in keys if k != "feature"] + ["i"], list(features))), keys)
 
 
 def nonstationarity_summary(per_agent: DataFrame, group: str = "label") -> DataFrame:

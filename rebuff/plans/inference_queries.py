@@ -80,14 +80,29 @@ def _(v):
     return t.select("a_id", "k", "n", lo.alias("lo"), hi.alias("hi"))
 
 
+def tail_sql(z: str) -> str:
+    """Two-sided normal tail: the error function's series of positive terms."""
+    x = f"abs({z})/sqrt(2)"
+    terms = f"list_sum(list_transform(range(200), lambda k: exp(k*ln(2*pow({x},2)+1e-300)-lgamma(2*k+2)+k*ln(2)+lgamma(k+1))))"
+    return f"CASE WHEN abs({z})>8 THEN 0.0 ELSE 1-2/sqrt(pi())*exp(-pow({x},2))*({x})*{terms} END"
+
+
+#: Shares of the permutations of n by their inversions, up to n = 33.
+INVERSIONS = {"inv": """SELECT 1 AS n, [1.0::DOUBLE] AS p UNION ALL
+  SELECT n+1, list_transform(range(n*(n+1)//2+1), lambda k: list_sum(p[greatest(1,k-n+1):k+1])/(n+1)) FROM inv WHERE n<33"""}
+
+
 def kendall_sql(src: str, keys: str) -> dict[str, str]:
     on = " AND ".join(f"a.{k}=b.{k}" for k in keys.split(","))
     ak = ", ".join(f"a.{k}" for k in keys.split(","))
-    return {f"{src}_s": f"SELECT {ak}, sum(sign(b.value-a.value)) AS s FROM {src} a JOIN {src} b ON {on} AND a.i<b.i GROUP BY {ak}",
+    return INVERSIONS | {
+            f"{src}_s": f"SELECT {ak}, sum(sign(b.value-a.value)) AS s FROM {src} a JOIN {src} b ON {on} AND a.i<b.i GROUP BY {ak}",
             f"{src}_t": f"SELECT {keys}, sum(c*(c-1)) AS t1, sum(c*(c-1)*(2*c+5)) AS t2, sum(c) AS n FROM (SELECT {keys}, value, count(*)::DOUBLE AS c FROM {src} GROUP BY {keys}, value) GROUP BY {keys}",
             f"{src}_f": f"SELECT {keys}, max(abs(value-x0))<=1e-8+1e-5*abs(max(x0)) AS flat FROM (SELECT {keys}, value, first_value(value) OVER (PARTITION BY {keys} ORDER BY i) AS x0 FROM {src}) GROUP BY {keys}",
-            f"{src}_k": f"""SELECT {keys}, n::BIGINT AS n, flat, CASE WHEN n>=8 AND NOT flat THEN s/sqrt((n*(n-1)/2)*(n*(n-1)/2-t1/2)) ELSE 0.0 END AS tau,
-              CASE WHEN n>=8 AND NOT flat AND abs(s/sqrt((n*(n-1)*(2*n+5)-t2)/18))>1.959964 THEN sign(s)::INTEGER ELSE 0 END AS direction FROM {src}_t JOIN {src}_f USING ({keys}) JOIN {src}_s USING ({keys})"""}
+            f"{src}_x": f"SELECT *, s/sqrt((n*(n-1)*(2*n+5)-t2)/18) AS z, (n*(n-1)/2-abs(s))/2 AS few, n>=8 AND NOT flat AS ok FROM {src}_t JOIN {src}_f USING ({keys}) JOIN {src}_s USING ({keys})",
+            f"{src}_y": f"SELECT x.*, CASE WHEN NOT ok THEN 1.0 WHEN t1=0 AND x.n<=33 THEN least(1.0, 2*list_sum(p[1:few::INT+1])) ELSE {tail_sql('z')} END AS p_value FROM {src}_x x LEFT JOIN inv ON inv.n=x.n",
+            f"{src}_k": f"""SELECT {keys}, n::BIGINT AS n, flat, CASE WHEN ok THEN s/sqrt((n*(n-1)/2)*(n*(n-1)/2-t1/2)) ELSE 0.0 END AS tau, p_value,
+              CASE WHEN ok AND p_value<0.05 THEN sign(s)::INTEGER ELSE 0 END AS direction FROM {src}_y"""}
 
 
 def pettitt_sql(src: str, keys: str) -> dict[str, str]:
@@ -109,7 +124,7 @@ def long_features(v):
     return unpivot(v.sfeat.withColumn("flat", F.lit(0.0)), ["a_id", "i"], ["p404", "evasion_index", "flat"])
 
 
-@query("mann_kendall", "SELECT a_id, feature, n, tau, direction FROM sl_k", "tau", ctes=TREND)
+@query("mann_kendall", "SELECT a_id, feature, n, tau, p_value, direction FROM sl_k", "tau p_value", ctes=TREND)
 def _(v):
     return I.mann_kendall(long_features(v), ["a_id", "feature"])
 
@@ -175,10 +190,17 @@ def _(v):
     return I.rank_correlation(score_units(v), "a_id", "x", "y")
 
 
-@query("auc_mann_whitney", """SELECT n1 AS n_pos, n0 AS n_neg, u/(n1*n0) AS auc, u, (abs(u-n1*n0/2)-0.5)/sqrt(n1*n0/12*(n1+n0+1-ties/((n1+n0)*(n1+n0-1)))) AS z,
-  (abs(u-n1*n0/2)-0.5)/sqrt(n1*n0/12*(n1+n0+1-ties/((n1+n0)*(n1+n0-1))))>1.959964 AS significant, median_pos, median_neg FROM (SELECT sum(rx) FILTER (pos)-count(*) FILTER (pos)*(count(*) FILTER (pos)+1)/2 AS u,
-  count(*) FILTER (pos) AS n1, count(*) FILTER (NOT pos) AS n0, sum(t*t-1) AS ties, quantile_cont(x,0.5) FILTER (pos) AS median_pos, quantile_cont(x,0.5) FILTER (NOT pos) AS median_neg FROM
-  (SELECT *, y>0.5 AS pos, (count(*) OVER (PARTITION BY x))::DOUBLE AS t FROM rco))""", "auc u z median_pos median_neg", ctes=RC)
+#: U's shares without ties by one sample's members in rank order: ways to reach (members taken, sum of ranks so far).
+AUC = RC | {
+    "auz": """SELECT n1, n0, u, ties, (abs(u-n1*n0/2)-0.5)/sqrt(n1*n0/12*(n1+n0+1-ties/((n1+n0)*(n1+n0-1)))) AS z, median_pos, median_neg FROM (
+      SELECT sum(rx) FILTER (pos)-count(*) FILTER (pos)*(count(*) FILTER (pos)+1)/2 AS u, count(*) FILTER (pos) AS n1, count(*) FILTER (NOT pos) AS n0, sum(t*t-1) AS ties,
+      quantile_cont(x,0.5) FILTER (pos) AS median_pos, quantile_cont(x,0.5) FILTER (NOT pos) AS median_neg FROM (SELECT *, y>0.5 AS pos, (count(*) OVER (PARTITION BY x))::DOUBLE AS t FROM rco))""",
+    "auw": """SELECT 0 AS r, 0 AS m, 0 AS w, 1.0::DOUBLE AS c UNION ALL SELECT * FROM (SELECT r+1, m+d, w+d*(r+1), sum(c) FROM auw, auz, (VALUES (0),(1)) q(d) WHERE r<n1+n0 AND m+d<=least(n1,n0) AND least(n1,n0)<=8 AND ties=0 GROUP BY 1,2,3)""",
+    "aup": "SELECT sum(c) FILTER (w-m*(m+1)/2>=greatest(u,n1*n0-u))*2/sum(c) AS p FROM auw, auz WHERE r=n1+n0 AND m=least(n1,n0)"}
+
+
+@query("auc_mann_whitney", f"""SELECT n1 AS n_pos, n0 AS n_neg, u/(n1*n0) AS auc, u, z, least(1.0, CASE WHEN ties=0 AND least(n1,n0)<=8 THEN (SELECT p FROM aup) ELSE {tail_sql('z')} END) AS p_value,
+  z>1.959964 AS significant, median_pos, median_neg FROM auz""", "auc u z p_value median_pos median_neg", ctes=AUC)
 def _(v):
     return I.auc_mann_whitney(score_units(v), "x", F.col("y") > 0.5)
 

@@ -117,7 +117,7 @@ def _(v):
 @query("changepoint_timing", """SELECT CASE WHEN a_id%2=1 THEN 'abusive' ELSE 'verified' END AS arm, least(floor(cp_frac*20),19)::BIGINT AS bin, count(*) AS n FROM sl_e
   WHERE feature='evasion_index' AND significant AND cp_frac IS NOT NULL GROUP BY 1,2""", ctes=TREND)
 def _(v):
-    return C.changepoint_timing(C.nonstationarity(v.sfeat, ["evasion_index"], ["a_id", "arm"]), group="arm")
+    return C.changepoint_timing(C.changepoints(v.sfeat, ["evasion_index"], ["a_id", "arm"]), group="arm")
 
 
 CR_COLS = [f"{k}_{f}" for k in "dz" for f in W.RESPONSE_FEATURES]
