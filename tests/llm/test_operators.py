@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from rebuff.llm import chat, decontaminate, html_text, language, licenses, pieces, quality, shards, simhash, suffix_repeats
+from rebuff.llm import chat, decontaminate, html_text, language, licenses, near_copies, pieces, quality, shards, simhash, suffix_repeats
 from rebuff.llm.queries import PIECE_MODEL, QUERIES
 from tools.check import compare, connect
 
@@ -333,13 +333,25 @@ def test_chat_trees(spark):
 
 # pipeline -----------------------------------------------------------------------------------------
 
+def similar_groups(texts):
+    """The root of every text by links of five-word similarity 0.8 or more, all pairs compared."""
+    sets = [near_copies.shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and near_copies.similarity(sets[i], sets[j]) >= 0.8:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    return root
+
+
 def test_pipeline(spark, documents):
     """Each stage by its own brute force, one after the other."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     verdict = {r.doc_id for r in quality.quality(docs).where("kept").collect()}
     left = sorted((i, t) for i, t, _ in documents if i in verdict)
-    roots = brute_groups([brute_fingerprint(t) for _, t in left])
+    roots = similar_groups([t for _, t in left])
     left = [x for k, x in enumerate(left) if roots[k] == k]
     cut = brute_spans(left)
     texts = {}
@@ -363,5 +375,5 @@ def test_pipeline(spark, documents):
 
 def test_queries_registered():
     import __spark_entry__ as entry
-    assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and len(QUERIES) == 10
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and len(QUERIES) == 13
     assert hashlib.md5(b"").hexdigest()
