@@ -12,6 +12,8 @@ from rebuff.session import materialize
 WC, PLACEBO_OFFSET, MIN_DAYS = 14, 60, 15
 POP_CAP, CORE_POP, TOP_K = 1000, 25, 40
 TOPK_IP, IP_OVERLAP_CORE, IP_SHARED_MIN = 12, 0.5, 3
+#: Agents from which a URL or address is dealt out in slices.
+HEAVY = 2000
 #: Bins of the rarest shared decoy's popularity.
 BINS = ((0, 5), (6, 25), (26, 100), (101, 1_000_000_000))
 
@@ -21,28 +23,44 @@ def _edges(decoy: DataFrame) -> DataFrame:
     return decoy.where("uh_total > 0").select(F.col("uh_a_id").alias("a_id"), F.col("uh_u_id").alias("u")).distinct()
 
 
-def decoy_popularity(decoy: DataFrame, cap: int = POP_CAP) -> DataFrame:
-    """Agents per decoy URL; a URL beyond the cap does not link agents."""
-    return _edges(decoy).groupBy("u").agg(F.count(F.lit(1)).alias("pop")).withColumn("usable", F.col("pop") <= cap)
+def decoy_popularity(decoy: DataFrame, cap: int | None = POP_CAP) -> DataFrame:
+    """Agents per decoy URL; a URL beyond the cap does not link agents. ``None``: every URL does."""
+    usable = F.lit(True) if cap is None else F.col("pop") <= cap
+    return _edges(decoy).groupBy("u").agg(F.count(F.lit(1)).alias("pop")).withColumn("usable", usable)
 
 
-def _top(df: DataFrame, by: str, order: Sequence[Column], k: int) -> DataFrame:
-    """k best per key; the filter on the rank is pushed into a per-task group limit."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
+def _sliced(edges: DataFrame, key: str, agent: str) -> DataFrame:
+    """Edges with ``pop``, the agents per key, and ``slice``: 0, or one of many for a key of over ``HEAVY`` agents.
 
+    Agents are counted per (key, slice) first and per key from those, and the counts go back by (key, slice), so
+    a key that a third of all agents share is nowhere one task's work."""
+    slices = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = edges.withColumn("slice", F.pmod(F.xxhash64(agent), F.lit(slices)).cast("int"))
+    part = e.groupBy(key, "slice").agg(F.count(F.lit(1)).alias("_n"))
+    pop = part.groupBy(key).agg(F.sum("_n").alias("pop"))
+    e = e.join(part.select(key, "slice").join(pop, key), [key, "slice"])
+    return e.withColumn("slice", F.when(F.col("pop") > HEAVY, F.col("slice")).otherwise(0))
 
-def decoy_bridge(decoy: DataFrame, deaths: DataFrame, cap: int = POP_CAP, k: int = TOP_K) -> DataFrame:
+
+def _linked(dead: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(dead side's columns, a_succ) over shared keys. A heavy key's dead rows, few beside its agents, go to all its slices."""
+    slices = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = F.when(F.col("pop") > HEAVY, F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
+    return dead.drop("slice").withColumn("slice", F.explode(every)).join(edges.select(F.col("a_id").alias("a_succ"), key, "slice"), [key, "slice"]).where("a_succ <> a_death")
+
+
+def decoy_bridge(decoy: DataFrame, deaths: DataFrame, cap: int | None = POP_CAP) -> DataFrame:
     """Candidates sharing a usable decoy with each death: shared count, sum of 1/popularity, rarest
-    popularity, Jaccard; the k rarest.
+    popularity, Jaccard, and ``rank``, the place among the death's candidates, rarest first.
 
-    The popularity cap is part of the estimator and bounds every URL's fan-out. Jaccard is over
-    uncapped sets: intersections on popular URLs are counted only for pairs that already exist.
+    The popularity cap is part of the estimator; without it (``None``) every URL links. Jaccard is over
+    uncapped sets: intersections on popular URLs are counted only for pairs that already exist. A caller's filter
+    on the rank becomes a limit per task before the ranking's shuffle.
     """
-    e = materialize(_edges(decoy).join(decoy_popularity(decoy, cap), "u"))
+    e = materialize(_sliced(_edges(decoy), "u", "a_id").withColumn("usable", F.lit(True) if cap is None else F.col("pop") <= cap))
     size = e.groupBy("a_id").agg(F.count(F.lit(1)).alias("_urls"))
-    dead = e.join(deaths.select("a_id"), "a_id").select(F.col("a_id").alias("a_death"), "u", "pop", "usable")
-    pairs = (dead.where("usable").join(e.select(F.col("a_id").alias("a_succ"), "u"), "u").where("a_succ <> a_death")
+    dead = e.join(deaths.select("a_id"), "a_id").select(F.col("a_id").alias("a_death"), "u", "pop", "usable", "slice")
+    pairs = (_linked(dead.where("usable"), e, "u")
              .groupBy("a_death", "a_succ").agg(F.count(F.lit(1)).alias("shared_hp"), F.sum(1 / F.col("pop")).alias("rare_score"),
                                                F.min("pop").alias("min_pop")))
     popular = (pairs.select("a_death", "a_succ").join(dead.where("not usable").select("a_death", "u"), "a_death")
@@ -54,7 +72,8 @@ def decoy_bridge(decoy: DataFrame, deaths: DataFrame, cap: int = POP_CAP, k: int
     union = F.col("_na") + F.col("_nb") - F.col("shared_hp") - F.coalesce("_more", F.lit(0))
     d = d.select("a_death", "a_succ", "shared_hp", "rare_score", "min_pop", (F.col("shared_hp") / union).alias("jaccard"),
                  (F.col("min_pop") <= CORE_POP).cast("int").alias("in_core"))
-    return _top(d, "a_death", [F.desc(F.round("rare_score", 9)), F.asc("a_succ")], k)
+    w = Window.partitionBy("a_death").orderBy(F.desc(F.round("rare_score", 9)), F.asc("a_succ"))
+    return d.withColumn("rank", F.row_number().over(w))
 
 
 def ip_footprint(ip: DataFrame) -> DataFrame:
@@ -63,19 +82,22 @@ def ip_footprint(ip: DataFrame) -> DataFrame:
 
 
 def ip_bridge(ip: DataFrame, deaths: DataFrame, k: int = TOPK_IP) -> DataFrame:
-    """Candidates sharing addresses with each death; the proxy filter is on the dying side only.
+    """Candidates sharing addresses with each death; the proxy filter is on the dying side only. ``rank_shared`` is
+    the place by shared addresses, ``rank`` the one by which the estimator keeps its best ``k``: those among the first
+    4 k by shared addresses come first, the precise ones before the others. No candidate is dropped here.
 
     Both sides are distinct (address, agent) pairs before the join, and only the dead agents'
-    addresses enter it. An address used by very many agents is a skewed key that AQE splits.
+    addresses enter it. An address used by very many agents is dealt out in slices.
     """
-    links = ip.groupBy("i_name", "i_agent").agg(F.min("i_proxy").alias("_clean"))
-    dead = links.where("_clean = 0").join(deaths.select(F.col("a_id").alias("i_agent")), "i_agent").select(F.col("i_agent").alias("a_death"), "i_name")
-    d = (dead.join(links.select("i_name", F.col("i_agent").alias("a_succ")), "i_name").where("a_succ <> a_death")
-         .groupBy("a_death", "a_succ").agg(F.count(F.lit(1)).alias("shared_ips")))
-    d = _top(d, "a_death", [F.desc("shared_ips"), F.asc("a_succ")], 4 * k)
+    links = ip.groupBy("i_name", F.col("i_agent").alias("a_id")).agg(F.min("i_proxy").alias("_clean"))
+    links = materialize(_sliced(links, "i_name", "a_id"))
+    dead = links.where("_clean = 0").join(deaths.select("a_id"), "a_id").select(F.col("a_id").alias("a_death"), "i_name", "pop", "slice")
+    d = _linked(dead, links, "i_name").groupBy("a_death", "a_succ").agg(F.count(F.lit(1)).alias("shared_ips"))
+    by = Window.partitionBy("a_death")
+    d = d.withColumn("rank_shared", F.row_number().over(by.orderBy(F.desc("shared_ips"), F.asc("a_succ"))))
     d = d.join(ip_footprint(ip).withColumnRenamed("a_id", "a_death"), "a_death").withColumn("overlap_frac", F.col("shared_ips") / F.col("n_ip"))
     d = d.withColumn("in_core", ((F.col("overlap_frac") >= IP_OVERLAP_CORE) & (F.col("shared_ips") >= IP_SHARED_MIN)).cast("int")).drop("n_ip")
-    return _top(d, "a_death", [F.desc("in_core"), F.desc("shared_ips"), F.asc("a_succ")], k)
+    return d.withColumn("rank", F.row_number().over(by.orderBy(F.desc(F.col("rank_shared") <= 4 * k), F.desc("in_core"), F.desc("shared_ips"), F.asc("a_succ"))))
 
 
 def date_window_stats(series: DataFrame, centres: DataFrame, days: int = WC) -> DataFrame:
@@ -266,7 +288,7 @@ def planted_handoff(series: DataFrame, bots: Column, min_days: int = MIN_DAYS, p
 
 
 def coverage_register(candidates: DataFrame, deaths: DataFrame, series: DataFrame, min_days: int = MIN_DAYS) -> DataFrame:
-    """Every candidate pair with the reason it was or was not evaluated."""
+    """Every candidate pair with the reason it was or was not evaluated, and every death without a candidate."""
     days = series.groupBy("a_id").agg(F.count(F.lit(1)).alias("_days"), F.max("date").alias("_last"))
     c = candidates.select("a_death", "a_succ").join(deaths.select(F.col("a_id").alias("a_death"), F.col("t_death").alias("t_A")), "a_death")
     st = date_window_stats(series, c.select(F.col("a_succ").alias("a_id"), F.col("t_A").alias("t"))).select(
@@ -274,4 +296,6 @@ def coverage_register(candidates: DataFrame, deaths: DataFrame, series: DataFram
     d = c.join(days.withColumnRenamed("a_id", "a_succ"), "a_succ", "left").join(st, ["a_succ", "t_A"])
     reason = (F.when(F.col("_days").isNull(), "no_series").when(F.col("_days") < min_days, "below_min_days")
               .when(F.col("n_post") == 0, "unobserved_after").otherwise("evaluated"))
-    return d.select("a_death", "a_succ", reason.alias("reason"))
+    alone = deaths.select(F.col("a_id").alias("a_death")).join(candidates.select("a_death"), "a_death", "left_anti")
+    return d.select("a_death", "a_succ", reason.alias("reason")).unionByName(
+        alone.select("a_death", F.lit(None).cast(candidates.schema["a_succ"].dataType).alias("a_succ"), F.lit("no_candidate").alias("reason")))

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rebuff.functions.distributed import exact_quantiles
+from rebuff.functions.distributed import exact_quantiles, ranked_values
 from rebuff.functions.expressions import draw, safe_div
 from rebuff.functions.lagged import TINY, lag_curve, masked_curve, rotation_peaks, standardized
 from rebuff.operators import inference as I
@@ -223,11 +223,13 @@ def recompute_match(stored: DataFrame, again: DataFrame, tolerance: float = TINY
                  F.avg((F.col("p") == F.col("q")).cast("double")).alias("responder_match"))
 
 
-def top_curves(p: DataFrame, curves: DataFrame, group: str = "pop", n: int = 8) -> DataFrame:
-    """Curves of the n responders per group with the largest |post ccf|. The rank filter becomes a
-    per-task group limit before the shuffle."""
-    w = Window.partitionBy(group).orderBy(F.desc(F.round(F.abs("post_ccf"), 9)), "a_id")
-    top = p.where("responder").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("a_id", group, "rank")
+def ranked_curves(p: DataFrame, curves: DataFrame, group: str = "pop") -> DataFrame:
+    """Curves of all responders with ``rank``, their place in the group by |post ccf|. Places are numbered over
+    ranges of the sorted values, so no task holds a whole group; the largest few are a filter on the rank."""
+    v = p.where("responder").select("a_id", group, F.round(F.abs("post_ccf"), 9).alias("_v"))
+    order = ranked_values(v, "_v", [group]).select(group, "_v", (F.col("n_total") - F.col("n_before") - F.col("n")).alias("_ahead"))
+    w = Window.partitionBy(group, "_v").orderBy("a_id")             # ties of one value
+    top = v.join(order, [group, "_v"]).withColumn("rank", (F.col("_ahead") + F.row_number().over(w)).cast("int")).select("a_id", group, "rank")
     return curves.join(top, "a_id")
 
 

@@ -1,6 +1,8 @@
 """Labelled populations: splits, rosters with explicit precedence, censuses, overlaps."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rebuff.functions.distributed import number_units
@@ -37,7 +39,7 @@ def roster_v1(labels: DataFrame, positive: DataFrame, trusted: DataFrame, negati
     human who is also a candidate human ends up as the candidate."""
     label_rank = (F.when(F.col("label") == "pothuman", 4).when(F.col("label") == "chrome", 3)
                   .when(F.col("label") == "human", 2).otherwise(1))
-    parts = (labels.where(F.col("a_id") <= MAX_ID).select("a_id", F.concat(F.lit("labeled_"), "label").alias("role"),
+    parts = (labels.select("a_id", F.concat(F.lit("labeled_"), "label").alias("role"),
                                                           F.lit(4).alias("p"), label_rank.alias("q"))
              .unionByName(positive.select("a_id", F.lit("bot_hp").alias("role"), F.lit(3).alias("p"), F.lit(0).alias("q")))
              .unionByName(trusted.select("a_id", F.lit("ctrl_white").alias("role"), F.lit(2).alias("p"), F.lit(0).alias("q")))
@@ -45,7 +47,13 @@ def roster_v1(labels: DataFrame, positive: DataFrame, trusted: DataFrame, negati
     role = F.col("role")
     return first_by_priority(parts, [F.desc("p"), F.desc("q")]).select(
         "a_id", "role", role.isin("bot_hp", "labeled_bot").alias("is_bot"),
-        (role.startswith("ctrl_") | role.isin("labeled_human", "labeled_chrome", "labeled_pothuman")).alias("is_control"))
+        (role.startswith("ctrl_") | role.isin("labeled_human", "labeled_chrome", "labeled_pothuman")).alias("is_control"),
+        (F.col("a_id") > MAX_ID).alias("over_limit"))
+
+
+def draw_order(df: DataFrame, by: Sequence[str] = (), key: str = "a_id", seed: int = 42) -> DataFrame:
+    """All rows with ``draw``, their place from 1 in the order md5(seed, key), per stratum. A sample is a filter on it."""
+    return number_units(df, key, by, seed=str(seed)).withColumn("draw", F.col("idx") + 1).drop("idx", "n_units")
 
 
 def seeded_sample(df: DataFrame, n: int, key: str = "a_id", seed: int = 42) -> DataFrame:
@@ -61,13 +69,12 @@ def seeded_sample(df: DataFrame, n: int, key: str = "a_id", seed: int = 42) -> D
 def sample_to_size_of(df: DataFrame, other: DataFrame, key: str = "a_id", seed: int = 42) -> DataFrame:
     """A seeded sample of ``df`` with as many rows as ``other``."""
     size = other.agg(F.count(F.lit(1)).alias("_size"))
-    return (number_units(df, key, seed=str(seed)).crossJoin(F.broadcast(size))
-            .where(F.col("idx") < F.col("_size")).drop("idx", "n_units", "_size"))
+    return draw_order(df, key=key, seed=seed).crossJoin(F.broadcast(size)).where(F.col("draw") <= F.col("_size")).drop("draw", "_size")
 
 
 def stratified_sample(df: DataFrame, by: str, cap: int, key: str = "a_id", seed: int = 42) -> DataFrame:
     """At most ``cap`` per stratum, in md5 order; strata are numbered in hash slices, not in one task."""
-    return number_units(df, key, [by], seed=str(seed)).where(F.col("idx") < cap).drop("idx", "n_units")
+    return draw_order(df, [by], key, seed).where(F.col("draw") <= cap).drop("draw")
 
 
 def abusive_arm(honeypot: DataFrame, agent: DataFrame, threshold: float = SHARE_THRESHOLD) -> DataFrame:
@@ -79,7 +86,7 @@ def abusive_arm(honeypot: DataFrame, agent: DataFrame, threshold: float = SHARE_
 
 
 def curated(labels: DataFrame, label: str) -> DataFrame:
-    return labels.where((F.col("label") == label) & (F.col("a_id") <= MAX_ID)).select("a_id")
+    return labels.where(F.col("label") == label).select("a_id")
 
 
 def arm_of_record(arm: DataFrame, labels: DataFrame) -> DataFrame:
@@ -97,7 +104,7 @@ def roster_v2(labels: DataFrame, arm: DataFrame) -> DataFrame:
         parts = part if parts is None else parts.unionByName(part)
     return first_by_priority(parts, [F.asc("p")]).select(
         "a_id", "role", (F.col("role") == "abusive_share").alias("is_bot"),
-        (F.col("role") == "verified_human").alias("is_control"))
+        (F.col("role") == "verified_human").alias("is_control"), (F.col("a_id") > MAX_ID).alias("over_limit"))
 
 
 def honeypot_census(honeypot: DataFrame) -> DataFrame:
@@ -135,13 +142,15 @@ def cohort_counts(roster: DataFrame, panel: DataFrame) -> DataFrame:
 
 
 def moderate_bots(honeypot: DataFrame, lo: int = 200, hi: int = 8000, n: int = 10) -> DataFrame:
-    """The lowest n ids whose decoy total lies in [lo, hi]."""
-    return decoy_totals(honeypot).where(F.col("tot").between(lo, hi)).orderBy("a_id").limit(n)
+    """All agents with a decoy total: whether it lies in [lo, hi], and whether the id is among the lowest n of those."""
+    t = decoy_totals(honeypot).where("tot is not null").withColumn("moderate", F.col("tot").between(lo, hi))
+    first = t.where("moderate").orderBy("a_id").limit(n).select("a_id", F.lit(True).alias("chosen"))
+    return t.join(F.broadcast(first), "a_id", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))     # n rows
 
 
 def size_screen(agent: DataFrame, cap: int = 500_000) -> DataFrame:
-    """Drop known giants from a bulk extraction plan; an unknown size stays."""
-    return agent.where((F.col("a_totalhit") <= cap) | F.col("a_totalhit").isNull())
+    """Marks the known giants that a bulk extraction plan leaves for single runs; an unknown size is not one."""
+    return agent.withColumn("screened", F.coalesce(F.col("a_totalhit") > cap, F.lit(False)))
 
 
 def arm_revision(old: DataFrame, new: DataFrame, roster: DataFrame) -> DataFrame:
@@ -156,8 +165,8 @@ def arm_revision(old: DataFrame, new: DataFrame, roster: DataFrame) -> DataFrame
 
 
 def curated_labels(labels: DataFrame) -> DataFrame:
-    """Labels per agent within the id limit, with the twin flag."""
-    return (labels.where(F.col("a_id") <= MAX_ID).groupBy("a_id")
+    """Labels per agent with the twin flag and the id-limit flag."""
+    return (labels.groupBy("a_id")
             .agg(F.concat_ws(",", F.sort_array(F.collect_set("label"))).alias("labels"),
                  F.count_distinct("label").alias("n_labels"))
-            .withColumn("twin", F.col("n_labels") > 1))
+            .withColumns({"twin": F.col("n_labels") > 1, "over_limit": F.col("a_id") > MAX_ID}))

@@ -13,12 +13,23 @@ from rebuff.session import materialize
 CAP, REPS, DRAWS = B.POP_CAP, 2000, 200
 
 
+def decoy_candidates(v, deaths):
+    """The estimator's candidates: the 40 rarest per death."""
+    return B.decoy_bridge(v.sdecoy, deaths, CAP).where(F.col("rank") <= B.TOP_K).drop("rank")
+
+
+def ip_candidates(v, deaths):
+    """The estimator's candidates: of the first 48 by shared addresses the best 12."""
+    return B.ip_bridge(v.ip, deaths).where((F.col("rank_shared") <= 4 * B.TOPK_IP) & (F.col("rank") <= B.TOPK_IP)).drop("rank", "rank_shared")
+
+
 def cand_sql(p: str, deaths: str) -> dict[str, str]:
     return {f"{p}c0": f"SELECT d.a_id AS a_death, b.uh_a_id AS a_succ, count(*) AS shared_hp, sum(1.0::DOUBLE/pop) AS rare_score, min(pop) AS min_pop FROM {deaths} d JOIN sdecoy a ON a.uh_a_id=d.a_id JOIN dpop p ON p.u=a.uh_u_id AND pop<={CAP} "
                       "JOIN sdecoy b ON b.uh_u_id=a.uh_u_id AND b.uh_a_id<>d.a_id GROUP BY 1,2",
             f"{p}ci": f"SELECT c.a_death, c.a_succ, count(*) AS k FROM {p}c0 c JOIN sdecoy x ON x.uh_a_id=c.a_death JOIN sdecoy y ON y.uh_a_id=c.a_succ AND y.uh_u_id=x.uh_u_id GROUP BY 1,2",
-            f"{p}cand": f"""SELECT a_death, a_succ, shared_hp, rare_score, min_pop, shared_hp/(na.k+nb.k-i.k) AS jaccard, (min_pop<=25)::INTEGER AS in_core FROM (SELECT *, row_number() OVER (PARTITION BY a_death ORDER BY round(rare_score,9) DESC, a_succ) AS rn
-              FROM {p}c0) c JOIN {p}ci i USING (a_death,a_succ) JOIN dsz na ON na.a=a_death JOIN dsz nb ON nb.a=a_succ WHERE rn<=40"""}
+            f"{p}cand": f"SELECT * FROM {p}all WHERE rank<=40",
+            f"{p}all": f"""SELECT a_death, a_succ, shared_hp, rare_score, min_pop, shared_hp/(na.k+nb.k-i.k) AS jaccard, (min_pop<=25)::INTEGER AS in_core, rn::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a_death ORDER BY round(rare_score,9) DESC, a_succ) AS rn
+              FROM {p}c0) c JOIN {p}ci i USING (a_death,a_succ) JOIN dsz na ON na.a=a_death JOIN dsz nb ON nb.a=a_succ"""}
 
 
 def stats_join(alias: str, agent: str, t: str) -> str:
@@ -37,8 +48,9 @@ BASE = BX | {"dpop": "SELECT uh_u_id AS u, count(DISTINCT uh_a_id) AS pop FROM s
     "lnk": "SELECT i_name, i_agent, min(i_proxy) AS px FROM ip GROUP BY 1,2",
     "ifp": "SELECT i_agent AS a_id, count(DISTINCT i_name) AS n_ip FROM ip WHERE i_proxy=0 GROUP BY 1",
     "ic0": "SELECT a.i_agent AS a_death, b.i_agent AS a_succ, count(DISTINCT b.i_name) AS shared_ips FROM lnk a JOIN lnk b ON a.i_name=b.i_name AND b.i_agent<>a.i_agent WHERE a.px=0 AND a.i_agent IN (SELECT a_id FROM deaths) GROUP BY 1,2",
-    "ic1": "SELECT c.*, shared_ips/n_ip AS overlap_frac, (shared_ips/n_ip>=0.5 AND shared_ips>=3)::INTEGER AS in_core FROM (SELECT *, row_number() OVER (PARTITION BY a_death ORDER BY shared_ips DESC, a_succ) AS rn FROM ic0) c JOIN ifp ON a_id=a_death WHERE rn<=48",
-    "icand": "SELECT a_death, a_succ, shared_ips, overlap_frac, in_core FROM (SELECT *, row_number() OVER (PARTITION BY a_death ORDER BY in_core DESC, shared_ips DESC, a_succ) AS r2 FROM ic1) WHERE r2<=12"} | pairs_sql("prs", "dcand", "deaths", HP) | {
+    "ic1": "SELECT c.*, shared_ips/n_ip AS overlap_frac, (shared_ips/n_ip>=0.5 AND shared_ips>=3)::INTEGER AS in_core FROM (SELECT *, row_number() OVER (PARTITION BY a_death ORDER BY shared_ips DESC, a_succ) AS rank_shared FROM ic0) c JOIN ifp ON a_id=a_death",
+    "iall": "SELECT a_death, a_succ, shared_ips, rank_shared::INTEGER AS rank_shared, overlap_frac, in_core, row_number() OVER (PARTITION BY a_death ORDER BY rank_shared<=48 DESC, in_core DESC, shared_ips DESC, a_succ)::INTEGER AS rank FROM ic1",
+    "icand": "SELECT a_death, a_succ, shared_ips, overlap_frac, in_core FROM iall WHERE rank_shared<=48 AND rank<=12"} | pairs_sql("prs", "dcand", "deaths", HP) | {
     "pst": "SELECT *, unnest(CASE WHEN in_core=1 THEN ['core','envelope'] ELSE ['envelope'] END) AS stratum FROM prs"}
 PAIR_D = "rare_score jaccard bA_pre dA_b dA_v bB_post dB_b dB_v dB_v_placebo"
 
@@ -51,7 +63,7 @@ def setup(v, deaths=None):
     """Materialised (series, deaths, candidates, pairs) for the decoy bridge."""
     s = materialize(botness(v))
     d = materialize(v.deaths if deaths is None else deaths)
-    c = materialize(B.decoy_bridge(v.sdecoy, d, CAP))
+    c = materialize(decoy_candidates(v, d))
     return s, d, c, materialize(B.pair_event_study(c, d, s))
 
 
@@ -60,7 +72,7 @@ def _(v):
     return B.decoy_popularity(v.sdecoy, CAP)
 
 
-@query("decoy_bridge", "SELECT * FROM dcand", "rare_score jaccard", ctes=BASE)
+@query("decoy_bridge", "SELECT * FROM dall", "rare_score jaccard", ctes=BASE)
 def _(v):
     return B.decoy_bridge(v.sdecoy, materialize(v.deaths), CAP)
 
@@ -70,7 +82,7 @@ def _(v):
     return B.ip_footprint(v.ip)
 
 
-@query("ip_bridge", "SELECT * FROM icand", "overlap_frac", ctes=BASE)
+@query("ip_bridge", "SELECT * FROM iall", "overlap_frac", ctes=BASE)
 def _(v):
     return B.ip_bridge(v.ip, materialize(v.deaths))
 
@@ -88,14 +100,14 @@ def _(v):
 @query("pair_placebo", 'SELECT a_death, a_succ, "dB_v_placebo" FROM ipr', "dB_v_placebo", ctes=BASE | pairs_sql("ipr", "icand", "deaths", "c.shared_ips, c.overlap_frac, c.in_core"))
 def _(v):
     d = materialize(v.deaths)
-    return B.pair_event_study(B.ip_bridge(v.ip, d), d, botness(v)).select("a_death", "a_succ", "dB_v_placebo")
+    return B.pair_event_study(ip_candidates(v, d), d, botness(v)).select("a_death", "a_succ", "dB_v_placebo")
 
 
-@query("pair_dedup", "SELECT a_death, a_succ, bridge FROM (SELECT *, row_number() OVER (PARTITION BY a_death, a_succ ORDER BY bridge) AS rn FROM (SELECT a_death, a_succ, 'decoy' AS bridge FROM dcand UNION ALL SELECT a_death, a_succ, 'ip' FROM icand)) WHERE rn=1", ctes=BASE)
+@query("pair_dedup", "SELECT a_death, a_succ, bridge FROM (SELECT *, row_number() OVER (PARTITION BY a_death, a_succ ORDER BY bridge) AS rn FROM (SELECT a_death, a_succ, 'decoy' AS bridge FROM dall UNION ALL SELECT a_death, a_succ, 'ip' FROM iall)) WHERE rn=1", ctes=BASE)
 def _(v):
     d = materialize(v.deaths)
     both = (B.decoy_bridge(v.sdecoy, d, CAP).select("a_death", "a_succ", F.lit("decoy").alias("bridge"))
-            .unionByName(B.ip_bridge(v.ip, d).select("a_death", "a_succ", F.lit("ip").alias("bridge"))))
+            .unionByName(B.ip_bridge(v.ip, d).select("a_death", "a_succ", F.lit("ip").alias("bridge"))))      # all candidates
     return B.pair_dedup(both, [F.asc("bridge")])
 
 
@@ -183,8 +195,9 @@ def _(v):
     return B.planted_handoff(botness(v), is_arm("abusive"))
 
 
-@query("coverage_register", f"""SELECT c.a_death, c.a_succ, CASE WHEN k.days IS NULL THEN 'no_series' WHEN k.days<15 THEN 'below_min_days' WHEN y.n_post=0 THEN 'unobserved_after' ELSE 'evaluated' END AS reason FROM dcand c JOIN deaths d ON d.a_id=c.a_death
-  LEFT JOIN (SELECT a_id, count(*) AS days FROM sidx GROUP BY 1) k ON k.a_id=c.a_succ {stats_join('y', 'c.a_succ', 'd.t_death')}""", ctes=BASE)
+@query("coverage_register", f"""SELECT c.a_death, c.a_succ, CASE WHEN k.days IS NULL THEN 'no_series' WHEN k.days<15 THEN 'below_min_days' WHEN y.n_post=0 THEN 'unobserved_after' ELSE 'evaluated' END AS reason FROM dall c JOIN deaths d ON d.a_id=c.a_death
+  LEFT JOIN (SELECT a_id, count(*) AS days FROM sidx GROUP BY 1) k ON k.a_id=c.a_succ {stats_join('y', 'c.a_succ', 'd.t_death')}
+  UNION ALL SELECT a_id, NULL, 'no_candidate' FROM deaths WHERE a_id NOT IN (SELECT a_death FROM dall)""", ctes=BASE)
 def _(v):
     d = materialize(v.deaths)
     return B.coverage_register(B.decoy_bridge(v.sdecoy, d, CAP), d, materialize(botness(v)))

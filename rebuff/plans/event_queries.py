@@ -70,11 +70,10 @@ PD = {"pdeaths": """SELECT a_id, min(date) AS t_death, arg_min(pre,date) AS pre_
   FROM sidx s) WHERE n>=25 AND i>=5 AND i+1<n AND pre>=5 AND tail<0.5*pre AND look<pre AND near<=0 AND (a_id,i) NOT IN (SELECT (a_id,i) FROM scand) GROUP BY a_id"""}
 
 
-@query("placebo_deaths", "SELECT p.* FROM (SELECT *, row_number() OVER (ORDER BY md5('42:'||a_id), a_id) AS rn FROM pdeaths) p WHERE rn<=(SELECT count(*) FROM deaths)".replace("p.*", "a_id, t_death, pre_vol, tail_vol"),
-       "pre_vol tail_vol", ctes=PD)
+@query("placebo_deaths", "SELECT a_id, t_death, pre_vol, tail_vol, row_number() OVER (ORDER BY md5('42:'||a_id), a_id) AS draw FROM pdeaths", "pre_vol tail_vol", ctes=PD)
 def _(v):
-    from rebuff.operators.populations import sample_to_size_of
-    return sample_to_size_of(E.placebo_deaths(v.sidx), v.deaths)
+    from rebuff.operators.populations import draw_order
+    return draw_order(E.placebo_deaths(v.sidx))
 
 
 PRES = {"pres": """SELECT a_id, arm, date AS event_date, date+5>pe AS censored, nx IS NULL AS gone, nx IS NULL OR nx>date+5 AS quiet5, nx IS NOT NULL AND nx>date+5 AS returned_after_quiet,

@@ -174,9 +174,9 @@ def _(v):
     return L.lag_censoring(calendar(v)[2])
 
 
-@query("leadlag_sample", "SELECT a_id, pop FROM (SELECT a_id, pop, row_number() OVER (PARTITION BY pop ORDER BY md5('42:'||a_id), a_id) AS rn FROM coh) WHERE rn<=10", ctes=LL)
+@query("leadlag_sample", "SELECT a_id, pop, row_number() OVER (PARTITION BY pop ORDER BY md5('42:'||a_id), a_id) AS draw FROM coh", ctes=LL)
 def _(v):
-    return R.stratified_sample(members(v).select("a_id", "pop"), "pop", 10)
+    return R.draw_order(members(v).select("a_id", "pop"), ["pop"])
 
 
 AGAIN = {"rmx": "SELECT a_id, n, zr, lag, i-lag AS j FROM (SELECT *, unnest(generate_series(-14,14)) AS lag FROM ccc_z)",
@@ -201,10 +201,10 @@ def _(v):
 
 
 @query("top_ccf_curves", """SELECT c.a_id, pop, rank::INTEGER AS rank, lag, ccf FROM ccc c JOIN (SELECT a_id, pop, row_number() OVER (PARTITION BY pop ORDER BY round(abs(post_ccf),9) DESC, a_id) AS rank FROM lpc WHERE responder) t
-  ON t.a_id=c.a_id WHERE rank<=8""", "ccf", ctes=LL)
+  ON t.a_id=c.a_id""", "ccf", ctes=LL)
 def _(v):
     _m, s, p = calendar(v)
-    return L.top_curves(p, L.ccf(s)).select("a_id", "pop", "rank", "lag", "ccf")
+    return L.ranked_curves(p, L.ccf(s)).select("a_id", "pop", "rank", "lag", "ccf")
 
 
 @query("tau_distribution", "SELECT pop, indexing, post_lag, count(*) AS n, count(*)/sum(count(*)) OVER (PARTITION BY pop, indexing) AS density FROM lpk WHERE responder GROUP BY 1,2,3", "density", ctes=LL)

@@ -42,12 +42,13 @@ def _(v):
     return P.drop_downtime(v.panel, v.emptydays).select(*PANEL.split(", "))
 
 
-@query("read_id_list", "SELECT DISTINCT doc_id AS a_id FROM labels WHERE doc_id>0")
+@query("read_id_list", """SELECT DISTINCT a_id, a_id>2147483647 AS over_limit FROM (SELECT doc_id AS a_id FROM labels UNION ALL SELECT doc_id+2147483000 FROM labels) WHERE a_id>0""")
 def _(v):
     path = scratch_path(v.spark, "ids")
     ids = v.table("labels").select(F.col("doc_id").cast("string").alias("a_id"))
     bad = v.table("labels").select(F.concat("doc_id", F.lit(".5")).alias("a_id"))
-    ids.unionByName(bad).write.csv(path, header=True)
+    long = v.table("labels").select((F.col("doc_id") + 2147483000).cast("string").alias("a_id"))
+    ids.unionByName(bad).unionByName(long).write.csv(path, header=True)
     return files.read_id_list(v.spark, path)
 
 
@@ -87,10 +88,11 @@ def _(v):
     return files.extract_outcomes(ids.unionByName(over), v.panel.where("a_id % 2 = 0"), v.panel)
 
 
-@query("profile_log", """SELECT unnest(['rows','span_days','statuses','methods','robots_hits','agents']) AS metric,
-  unnest([count(*), max(date)-min(date), count(DISTINCT h_status), count(DISTINCT h_mode), count(*) FILTER (h_u_id=64), count(DISTINCT h_a_id)])::BIGINT AS value FROM hits""")
+@query("profile_log", """SELECT unnest(['rows','robots_hits','agents']) AS metric, NULL::VARCHAR AS item, unnest([count(*), count(*) FILTER (h_u_id=64), count(DISTINCT h_a_id)])::BIGINT AS value, NULL::VARCHAR AS at FROM hits
+  UNION ALL SELECT unnest(['first_time','last_time']), NULL, NULL, strftime(unnest([min(h_ts), max(h_ts)])::TIMESTAMP, '%Y-%m-%d %H:%M:%S') FROM hits UNION ALL SELECT 'status', h_status::VARCHAR, count(*), NULL FROM hits GROUP BY 2
+  UNION ALL SELECT 'method', h_mode, count(*), NULL FROM hits GROUP BY 2""")
 def _(v):
-    return files.profile_log(v.hits, P.ROBOTS_URL)
+    return files.profile_log(v.hits, P.ROBOTS_URL).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("daily_rollup", f"SELECT {PANEL} FROM panel")

@@ -23,16 +23,16 @@ def _(v):
     return R.trusted_ip_agents(v.hits, v.whiteip)
 
 
-@query("roster_v1", """SELECT a_id, role, role IN ('bot_hp','labeled_bot') AS is_bot, (role LIKE 'ctrl_%' OR role IN ('labeled_human','labeled_pothuman')) AS is_control
+@query("roster_v1", """SELECT a_id, role, role IN ('bot_hp','labeled_bot') AS is_bot, (role LIKE 'ctrl_%' OR role IN ('labeled_human','labeled_pothuman')) AS is_control, a_id>2147483647 AS over_limit
   FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY p DESC, q DESC) AS rn FROM tagged) WHERE rn=1""", ctes=TOT)
 def _(v):
     side = R.honeypot_split(v.honeypot)
     return R.roster_v1(v.labels, side.where("side = 'positive'"), R.trusted_ip_agents(v.hits, v.whiteip), side.where("side = 'negative'"))
 
 
-@query("seeded_sample", "SELECT a_id, a_totalhit FROM agent ORDER BY md5('42:'||a_id), a_id LIMIT 25")
+@query("seeded_sample", "SELECT a_id, a_totalhit, row_number() OVER (ORDER BY md5('42:'||a_id), a_id) AS draw FROM agent")
 def _(v):
-    return R.seeded_sample(v.agent.select("a_id", "a_totalhit"), 25)
+    return R.draw_order(v.agent.select("a_id", "a_totalhit"))
 
 
 @query("abusive_arm", "SELECT a_id, decoy_hits::BIGINT AS decoy_hits, a_totalhit, share FROM abusive", "share")
@@ -45,7 +45,7 @@ def _(v):
     return R.arm_of_record(R.abusive_arm(v.honeypot, v.agent), v.labels)
 
 
-@query("roster_v2", "SELECT a_id, role, is_bot, is_control FROM roster2")
+@query("roster_v2", "SELECT a_id, role, is_bot, is_control, a_id>2147483647 AS over_limit FROM roster2")
 def _(v):
     return v.roster
 
@@ -76,14 +76,15 @@ def _(v):
     return R.cohort_counts(v.roster, v.panel.where("hits >= 2"))
 
 
-@query("moderate_bots", "SELECT a_id, tot FROM tot WHERE tot BETWEEN 10 AND 8000 ORDER BY a_id LIMIT 10", ctes=TOT)
+@query("moderate_bots", """SELECT a_id, tot, moderate, moderate AND rn<=10 AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY moderate ORDER BY a_id) AS rn
+  FROM (SELECT *, tot BETWEEN 15 AND 8000 AS moderate FROM tot WHERE tot IS NOT NULL))""", ctes=TOT)
 def _(v):
-    return R.moderate_bots(v.honeypot, lo=10)
+    return R.moderate_bots(v.honeypot, lo=15)      # the tables hold fewer requests than the 200 that the library asks for
 
 
-@query("size_screen", "SELECT a_id, a_totalhit FROM agent WHERE a_totalhit<=66 OR a_totalhit IS NULL")
+@query("size_screen", "SELECT a_id, a_totalhit, coalesce(a_totalhit>66, false) AS screened FROM agent")
 def _(v):
-    return R.size_screen(v.agent, 66).select("a_id", "a_totalhit")
+    return R.size_screen(v.agent, 66).select("a_id", "a_totalhit", "screened")      # the tables have no agent beyond the library's 500,000
 
 
 @query("arm_revision", """SELECT CASE WHEN o.a_id IS NULL THEN 'added' WHEN n.a_id IS NULL THEN 'removed' ELSE 'kept' END AS change, coalesce(role,'none') AS role, count(*) AS n_agents
@@ -92,7 +93,7 @@ def _(v):
     return R.arm_revision(R.decoy_totals(v.honeypot).where("tot > 10"), R.abusive_arm(v.honeypot, v.agent), v.roster)
 
 
-@query("curated_labels", """SELECT a_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, count(DISTINCT label) AS n_labels, count(DISTINCT label)>1 AS twin
+@query("curated_labels", """SELECT a_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, count(DISTINCT label) AS n_labels, count(DISTINCT label)>1 AS twin, a_id>2147483647 AS over_limit
   FROM alabels GROUP BY 1""")
 def _(v):
     return R.curated_labels(v.labels)

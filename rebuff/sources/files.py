@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rebuff.operators.panel import FEATURES, MAX_ID, SERIES_COLUMNS
+from rebuff.session import materialize
 
 
 def scan_requests(log: DataFrame, columns: list[str], lo: str | None = None, hi: str | None = None,
@@ -69,11 +70,11 @@ def save_panel_table(panel: DataFrame, table: str, buckets: int = 1024) -> None:
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """Validated, distinct, sorted ids of a one-column CSV with a header."""
+    """Validated, distinct, sorted ids of a one-column CSV with a header; an id beyond 32 bits is kept and flagged."""
     raw = spark.read.csv(path, header=True, schema="a_id string")
     value = F.expr("try_cast(a_id as decimal(38,6))")
-    return (raw.select(value.alias("v")).where((F.col("v") > 0) & (F.col("v") == F.floor("v")) & (F.col("v") <= MAX_ID))
-            .select(F.col("v").cast("long").alias("a_id")).distinct().orderBy("a_id"))
+    return (raw.select(value.alias("v")).where((F.col("v") > 0) & (F.col("v") == F.floor("v")) & (F.col("v") <= 2 ** 63 - 1))
+            .select(F.col("v").cast("long").alias("a_id")).distinct().orderBy("a_id").withColumn("over_limit", F.col("a_id") > MAX_ID))
 
 
 def write_result(result: DataFrame, path: str, fmt: str = "json", **parameters: object) -> None:
@@ -96,8 +97,19 @@ def incremental_extract(spark: SparkSession, log_panel: DataFrame, store: str) -
     write_panel(log_panel.join(held, "a_id", "left_anti"), store, mode="append")
 
 
+def require_extracted(declared: DataFrame, cached: DataFrame, fetched: DataFrame, excluded: DataFrame) -> DataFrame:
+    """``extract_outcomes`` behind a gate: a declared id that has no series and is not in ``excluded`` (a_id, reason)
+    is an error, so that no cohort shrinks silently. Names the ten lowest such ids."""
+    held = cached.select("a_id").unionByName(fetched.select("a_id")).unionByName(excluded.where("reason is not null").select("a_id"))
+    missing = declared.join(held, "a_id", "left_anti").select("a_id").distinct()
+    lost = [r.a_id for r in missing.orderBy("a_id").limit(11).collect()]
+    if lost:
+        raise ValueError(f"declared but neither extracted nor excluded with a reason: {', '.join(map(str, lost[:10]))}{' and more' * (len(lost) > 10)}")
+    return extract_outcomes(declared, cached, fetched)
+
+
 def extract_outcomes(declared: DataFrame, cached: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Outcome per declared id: over the limit, cached, fetched, or empty."""
+    """Outcome per declared id: over the limit, cached, fetched, or empty. ``require_extracted`` makes the last an error."""
     c = cached.select("a_id").distinct().withColumn("_c", F.lit(1))
     f = fetched.select("a_id").distinct().withColumn("_f", F.lit(1))
     outcome = (F.when(F.col("a_id") > MAX_ID, "over_max_id").when(F.col("_c").isNotNull(), "cached")
@@ -107,10 +119,15 @@ def extract_outcomes(declared: DataFrame, cached: DataFrame, fetched: DataFrame)
 
 
 def profile_log(log: DataFrame, robots_url: int) -> DataFrame:
-    """Row counts, time span, distinct statuses and methods, robots probe: one pass, long form."""
-    day = F.to_date("h_ts")
-    t = log.agg(F.count(F.lit(1)).alias("rows"), F.datediff(F.max(day), F.min(day)).cast("long").alias("span_days"),
-                F.count_distinct("h_status").alias("statuses"), F.count_distinct("h_mode").alias("methods"),
-                F.count_if(F.col("h_u_id") == robots_url).alias("robots_hits"),
-                F.count_distinct("h_a_id").alias("agents"))
-    return t.unpivot([], ["rows", "span_days", "statuses", "methods", "robots_hits", "agents"], "metric", "value")
+    """Long profile (metric, item, value, at): row, agent and robots counts, first and last time, and every status
+    and method with its rows. One pass: rows shrink to (agent, status, method) before anything moves."""
+    one = materialize(log.groupBy(F.col("h_a_id").alias("a"), F.col("h_status").cast("string").alias("status"), F.col("h_mode").alias("method")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("h_u_id") == robots_url).alias("robots"), F.min("h_ts").alias("lo"), F.max("h_ts").alias("hi")), "profile")
+    t = one.agg(F.sum("n").alias("rows"), F.sum("robots").alias("robots_hits"), F.count_distinct("a").alias("agents"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    total = t.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(v).alias("value"), F.col(w).alias("at") if w else F.lit(None).cast("timestamp").alias("at"))
+                                         for m, v, w in (("rows", "rows", None), ("robots_hits", "robots_hits", None), ("agents", "agents", None),
+                                                         ("first_time", "rows", "lo"), ("last_time", "rows", "hi"))])).alias("x")).select("x.*")
+    total = total.select("metric", F.lit(None).cast("string").alias("item"), F.when(F.col("at").isNull(), F.col("value")).alias("value"), "at")
+    for c in ("status", "method"):
+        total = total.unionByName(one.groupBy(F.col(c).alias("item")).agg(F.sum("n").alias("value")).withColumns({"metric": F.lit(c), "at": F.lit(None).cast("timestamp")}))
+    return total
