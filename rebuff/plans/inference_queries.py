@@ -7,7 +7,7 @@ from rebuff.functions.distributed import exact_quantiles
 from rebuff.functions.expressions import unpivot, wilson
 from rebuff.functions.resample import mean_difference, mean_intervals, median_intervals
 from rebuff.operators import events as E, inference as I, trajectory as C, windows as W
-from rebuff.oracle.ctes import DID_DOUBLES, boot, did, mean_ci
+from rebuff.oracle.ctes import BASE as CTES, DID_DOUBLES, boot, did, mean_ci
 from rebuff.plans.registry import query
 from rebuff.session import materialize
 
@@ -38,7 +38,10 @@ def _(v):
     return mean_difference(u, "a_id", "lv", "arm", "abusive", "verified").crossJoin(F.broadcast(med))
 
 
-DOSE = {"dev": """SELECT a_id, arm, i, p_block::DOUBLE AS intensity, pre_o, d_o, clean_lv AS pre_logvol, post_lv-clean_lv AS dvol, exp(post_lv)-1<0.5*(exp(clean_lv)-1) AS retreat FROM sout""",
+#: The dose queries run on the panel by periods of 28 days, whose block rates vary from event to event.
+DOSE = {"sdays": CTES["spanel"], "spanel": """SELECT a_id, DATE '1970-01-01'+(28*((date-DATE '1970-01-01')//28))::INTEGER AS date, sum(hits)::BIGINT AS hits, sum(c200)::BIGINT AS c200, sum(c404)::BIGINT AS c404,
+  sum(cblock)::BIGINT AS cblock, sum(c429)::BIGINT AS c429, sum(robots)::BIGINT AS robots FROM sdays GROUP BY 1,2""",
+        "dev": """SELECT a_id, arm, i, p_block::DOUBLE AS intensity, pre_o, d_o, clean_lv AS pre_logvol, post_lv-clean_lv AS dvol, exp(post_lv)-1<0.5*(exp(clean_lv)-1) AS retreat FROM sout""",
         "dmed": "SELECT arm, quantile_cont(intensity,0.5) AS med FROM dev GROUP BY 1",
         "dz": "SELECT d.*, intensity>med AS heavy FROM dev d JOIN dmed m ON m.arm=d.arm"}
 DG = DOSE | {"dga": "SELECT DISTINCT a_id, arm FROM dev"} | boot("dgb", "dga", "a_id", "arm") | {
@@ -51,7 +54,7 @@ DG = DOSE | {"dga": "SELECT DISTINCT a_id, arm FROM dev"} | boot("dgb", "dga", "
 @query("cluster_bootstrap", """SELECT arm, n_events, gap, ci_lo, ci_hi FROM (SELECT arm, count(*) AS n_events, avg(d_o) FILTER (heavy)-avg(d_o) FILTER (NOT heavy) AS gap FROM dz GROUP BY 1)
   JOIN (SELECT arm, quantile_cont(stat,0.025) AS ci_lo, quantile_cont(stat,0.975) AS ci_hi FROM dgs GROUP BY 1) USING (arm)""", "gap ci_lo ci_hi", ctes=DG)
 def _(v):
-    return I.dose_gap_bootstrap(I.dose_events(v.sobs))
+    return I.dose_gap_bootstrap(I.dose_events(v.by_period().sobs))
 
 
 DC = {"dcs": "SELECT arm, date, sum(d_o) AS s, count(d_o) AS m FROM sout GROUP BY 1,2"} | boot("dcb", "dcs", "date", "arm") | {
@@ -221,14 +224,14 @@ def _(v):
   avg(dvol) FILTER (heavy) AS dvol_heavy, avg(dvol) FILTER (NOT heavy) AS dvol_light, avg(retreat::INT) FILTER (heavy) AS retreat_heavy, avg(retreat::INT) FILTER (NOT heavy) AS retreat_light,
   avg(d_o) FILTER (heavy)-avg(d_o) FILTER (NOT heavy) AS gap FROM dz GROUP BY 1""", "dO_heavy dO_light dvol_heavy dvol_light retreat_heavy retreat_light gap", ctes=DOSE)
 def _(v):
-    return I.dose_split(materialize(I.dose_events(v.sobs)))
+    return I.dose_split(materialize(I.dose_events(v.by_period().sobs)))
 
 
 @query("balance_smd", " UNION ALL ".join(f"""SELECT arm, '{c}' AS covariate, avg({c}) FILTER (heavy) AS heavy_mean, avg({c}) FILTER (NOT heavy) AS light_mean, avg({c}) FILTER (heavy)-avg({c}) FILTER (NOT heavy) AS diff,
   (avg({c}) FILTER (heavy)-avg({c}) FILTER (NOT heavy))/sqrt((var_samp({c}) FILTER (heavy)+var_samp({c}) FILTER (NOT heavy))/2) AS smd FROM dz GROUP BY arm""" for c in ("pre_o", "pre_logvol")),
        "heavy_mean light_mean diff smd", ctes=DOSE)
 def _(v):
-    return I.balance_smd(materialize(I.dose_events(v.sobs)))
+    return I.balance_smd(materialize(I.dose_events(v.by_period().sobs)))
 
 
 ADJ = DOSE | {"a1": "SELECT arm, heavy::INT::DOUBLE AS h, pre_o AS p, pre_logvol AS v, d_o AS y1, retreat::INT::DOUBLE AS y2 FROM dz",
@@ -240,7 +243,7 @@ ADJ = DOSE | {"a1": "SELECT arm, heavy::INT::DOUBLE AS h, pre_o AS p, pre_logvol
 
 @query("adjusted_gap", "SELECT arm, count(*) AS n, sum(r*y1)/sum(r*r) AS adjusted_d_o, sum(r*y2)/sum(r*r) AS adjusted_retreat FROM a5 GROUP BY 1", "adjusted_d_o adjusted_retreat", ctes=ADJ)
 def _(v):
-    return I.adjusted_gap(materialize(I.dose_events(v.sobs)))
+    return I.adjusted_gap(materialize(I.dose_events(v.by_period().sobs)))
 
 
 CM = DOSE | {"cms": """SELECT arm, avg(pre_o) AS mo, avg(pre_logvol) AS mv, sqrt((var_samp(pre_o) FILTER (heavy)+var_samp(pre_o) FILTER (NOT heavy))/2)+1e-12 AS so,
@@ -253,7 +256,7 @@ CM = DOSE | {"cms": """SELECT arm, avg(pre_o) AS mo, avg(pre_logvol) AS mv, sqrt
 @query("caliper_match", "SELECT arm, n_heavy, coalesce(n_matched,0) AS n_matched, matched_gap FROM (SELECT arm, count(*) FILTER (heavy) AS n_heavy FROM dz GROUP BY 1) LEFT JOIN (SELECT arm, count(*) AS n_matched, avg(y)-avg(ly) AS matched_gap FROM cmb GROUP BY 1) USING (arm)",
        "matched_gap", ctes=CM)
 def _(v):
-    return I.caliper_match(I.dose_events(v.sobs))
+    return I.caliper_match(I.dose_events(v.by_period().sobs))
 
 
 FC_F = ["ip_ent", "dom_ent", "ctry_ent", "url_ent"]

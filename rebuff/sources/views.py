@@ -102,6 +102,14 @@ class Views:
                      total((F.col("l_linenumber") == 1) & (F.col("l_quantity") == 50)).alias("c429"),
                      total((F.col("l_linenumber") == 7) & (F.col("l_linestatus") == "F")).alias("robots")))
 
+    def by_period(self, days: int = 28) -> Views:
+        """The same views with the long panel rolled up to periods of so many days. A supplier's day holds one or two
+        line items, so its rates are 0 or 1; a period's rates vary."""
+        v = Views(self.spark, self.sf_dir)
+        start = F.date_add(F.lit("1970-01-01").cast("date"), (F.floor(F.datediff("date", F.lit("1970-01-01")) / days) * days).cast("int"))
+        v.spanel = self.spanel.groupBy("a_id", start.alias("date")).agg(*[F.sum(c).alias(c) for c in ("hits", "c200", "c404", "cblock", "c429", "robots")])
+        return v
+
     @cached_property
     def sidx(self) -> DataFrame:
         """Long panel with rates, active index i (0-based), n, and the two arms / four groups.
