@@ -22,9 +22,9 @@ def stream_log(v) -> DataFrame:
     return StreamViews(v.spark, v.sf_dir).hits.withColumn("h_ts", F.col("h_ts").cast("timestamp"))
 
 
-@query("stream_daily_rollup", "SELECT * FROM panel WHERE (date+1)::TIMESTAMP <= (SELECT max(ts) FROM events)-INTERVAL 1 DAY")
+@query("stream_daily_rollup", """SELECT *, CASE WHEN (date+1)::TIMESTAMP <= (SELECT max(ts) FROM events)-INTERVAL 1 DAY THEN 'closed' ELSE 'open' END AS state, 0::BIGINT AS late FROM panel""")
 def _(v):
-    return S.drain(S.daily_rollup(stream_log(v)), "rollup")
+    return S.settled_rollup(S.drain(S.daily_rollup(stream_log(v)), "rollup"), v.hits)
 
 
 @query("stream_rate_limit_alerts", "SELECT DISTINCT h_a_id AS a_id, date FROM hits WHERE h_status=429")
@@ -33,7 +33,7 @@ def _(v):
 
 
 @query("stream_spike_alerts", """SELECT a_id, date, cblock FROM (SELECT *, count(*) OVER w AS k, sum(cblock::DOUBLE) OVER w AS s, sum(cblock::DOUBLE*cblock) OVER w AS ss FROM panel WINDOW w AS (PARTITION BY a_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-  WHERE k>=3 AND ss/k-(s/k)*(s/k)>0 AND cblock>s/k+1.5*sqrt(ss/k-(s/k)*(s/k))""")
+  WHERE k>=3 AND ss/k-(s/k)*(s/k)>0 AND cblock>s/k+1.5*sqrt(ss/k-(s/k)*(s/k)) AND date+2<=(SELECT max(date) FROM panel)""")
 def _(v):
     path = scratch_path(v.spark, "days")
     v.panel.select("a_id", "date", "cblock").write.parquet(path)
