@@ -8,7 +8,8 @@ Template: ``<|turn|>role<|text|>text<|end|>`` per turn. A control string inside
 backslash after its first character (one more if it has some), which reading takes away again; so markers
 in the output are the template's own, and every text can be read back.
 
-Defined cases: null role or text is empty; a parent that is missing, or not earlier than its reply, makes
+Defined cases: null role or text is empty; the rows with a null tree id are one tree of their own, with a null id; rows
+without a node id have no place in a tree and are left out; only the columns named are read; a parent that is missing, or not earlier than its reply, makes
 the reply a root, so there are no cycles; of rows with the same (tree, node) the least counts; equal scores
 rank by leaf. One conversation is one output row, so its text must fit a row.
 """
@@ -55,8 +56,9 @@ def format_trees(nodes: DataFrame, branches: int | None = 1, learn: str = "assis
     score); node ids are unique in a tree, ``place`` orders replies after their parents. ``branches`` of the
     best-scored paths per tree, or all of them; ``loss_spans`` are code-point offsets of the ``learn`` texts."""
     rest = [c for c in ("parent", "place", "role", "text", "score")]
-    n = nodes.groupBy("tree", "node").agg(F.min(F.struct(*rest)).alias("x")).select("tree", "node", "x.*")
-    n = materialize(n.where(F.col("tree").isNotNull() & F.col("node").isNotNull()), "nodes")
+    # Inside, a tree's key is a struct: one that holds null equals another, so the rows without a tree id are one tree.
+    n = nodes.where(F.col("node").isNotNull()).groupBy(F.struct(F.col("tree").alias("id")).alias("tree"), "node").agg(F.min(F.struct(*rest)).alias("x")).select("tree", "node", "x.*")
+    n = materialize(n, "nodes")
     p = materialize(paths(n.select("tree", "node", "parent", "place")), "paths")
     scored = p.join(n.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc_nulls_last(), "leaf")))
@@ -75,7 +77,7 @@ def format_trees(nodes: DataFrame, branches: int | None = 1, learn: str = "assis
         span = F.array(F.struct(begin.alias("start"), stop.alias("end")))
         return F.struct((stop + len(END)).alias("at"), F.when(t["learn"], F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    return g.select("tree", "leaf", "rank", "score", F.size("turns").cast("long").alias("n_turns"),
+    return g.select(F.col("tree.id").alias("tree"), "leaf", "rank", "score", F.size("turns").cast("long").alias("n_turns"),
                     F.array_join(F.transform("turns", piece), "").alias("formatted"),
                     F.aggregate("turns", zero, step, lambda a: a["spans"]).alias("loss_spans"))
 

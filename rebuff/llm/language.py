@@ -8,14 +8,17 @@ word by word; a document's language is that of the largest mean posterior, which
 
 Training takes whole texts of about ``PER_LANGUAGE`` documents of each language, chosen by a hash of the id
 among the documents not held out; some of their lines are joined to lines of another language, so that
-transitions see switches. The model's size is fixed by ``BUCKETS`` and the number of languages.
+transitions see switches. The ``MAX_LANGUAGES`` languages with the most labelled documents are learned, so ``BUCKETS``
+and this bound fix the model's size, which the driver and every task hold.
 
 Defined cases: null text, or one without letters, is ``und`` with score 0; without labelled rows all are
-``und``; other columns pass through; equal posteriors go to the first language in order.
+``und``; only ``keep`` and the results are returned; rows that repeat an id are treated one by one; an empty table
+gives no rows; equal posteriors go to the first language in order. Letters are of the Unicode categories L.
 """
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,17 +26,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rebuff.llm.common import broadcast_if_small, materialize
+from rebuff.llm.common import materialize
 
 BUCKETS = 1 << 16
 #: The documented bound of the training sample: documents of each language, in expectation.
 PER_LANGUAGE = 150
+MAX_LANGUAGES = 128
 EPOCHS = 4
 RATE = 0.5
 SWITCHED = 0.25
 CHUNK_CHARS = 1 << 20
 CACHE = 400_000
-_WORD = re.compile(r"[^\W\d_]+").findall
+#: Number signs beyond decimal digits, which the class of word characters holds although they are no letters.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and unicodedata.category(c) in ("Nl", "No"))
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+").findall
 
 
 def held_out(key: Column) -> Column:
@@ -155,12 +161,12 @@ def train(texts: list[str], labels: list[int], n_labels: int, buckets: int = BUC
     return weights.astype(np.float32), np.exp(trans)
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray] | None:
     """(languages, weights, transition), trained in one task on the bounded sample; None without labels."""
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(key)), F.lit(True)))
-    counts = materialize(known.groupBy("l").agg(F.count(F.lit(1)).alias("n")), "languages")
+    counts = materialize(known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_languages), "languages")
     span = 1 << 30
-    chosen = known.join(broadcast_if_small(counts.withColumnRenamed("l", "c_l"), 100_000), F.col("l") == F.col("c_l")).where(
+    chosen = known.join(F.broadcast(counts.withColumnRenamed("l", "c_l")), F.col("l") == F.col("c_l")).where(
         F.pmod(F.xxhash64("k"), F.lit(span)) * F.col("n") <= F.lit(per_language * span))
     sample = chosen.groupBy(F.lit(1).alias("one")).applyInArrow(_train_task, "langs array<string>, weights binary, transition binary")
     row = sample.first()

@@ -21,16 +21,20 @@ SLACK = 0.02
 
 def kd_shards(rows: DataFrame, dims: list[str], size: str = "size", group: str = "group", n_shards: int | None = None,
               target_bytes: int | None = None, slack: float = SLACK) -> DataFrame:
-    """``rows`` plus ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 within the shard)."""
+    """``rows`` plus ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 within the shard). Input columns of
+    these two names are replaced; all others come back as they are, whatever their names."""
     spark = rows.sparkSession
-    base = materialize(rows.withColumn("_n", F.monotonically_increasing_id()), "rows")
-    total = base.agg(F.sum(size)).first()[0] or 0
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("shard", "slot")]
+    named = {f"_d{i}": F.col(d).cast("double") for i, d in enumerate(dims)}
+    base = materialize(rows.select(F.struct(*kept).alias("_row"), F.col(size).cast("long").alias("_size"), F.col(group).alias("_group"),
+                                   *[c.alias(d) for d, c in named.items()], F.monotonically_increasing_id().alias("_n")), "rows")
+    dims = list(named)
+    total = base.agg(F.sum("_size")).first()[0] or 0
     if n_shards is None:
         n_shards = max(1, -(-total // target_bytes))
     unit = max(1, total // n_shards)
     scaled = base.agg(*[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims])
-    at = base.select("_n", F.col(size).cast("long").alias("_size"), F.col(group).alias("_group"), *[F.col(d).cast("double").alias(d) for d in dims],
-                     F.lit(0).alias("_node"), F.lit(n_shards).alias("_k"))
+    at = base.select("_n", "_size", "_group", *dims, F.lit(0).alias("_node"), F.lit(n_shards).alias("_k"))
     span = scaled.first()
     width = {d: float(span[f"hi_{d}"] or 0) - float(span[f"lo_{d}"] or 0) for d in dims}
     k = n_shards
@@ -39,7 +43,7 @@ def kd_shards(rows: DataFrame, dims: list[str], size: str = "size", group: str =
         k = -(-k // 2)
     at = _positions(at.select("_n", "_size", F.col("_node"), "_group"), "_node", ["_group", "_n"], spread(spark), count=True)
     out = at.select("_n", F.col("_node").alias("shard"), F.col("_before").alias("slot"))
-    return base.join(out, "_n").drop("_n")
+    return base.select("_n", "_row").join(out, "_n").select("_row.*", "shard", "slot")
 
 
 def _positions(rows: DataFrame, node: str, order: list[str], parts: int, count: bool = False) -> DataFrame:
