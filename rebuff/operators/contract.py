@@ -98,6 +98,14 @@ def pin_plan(current: DataFrame, registry: DataFrame) -> DataFrame:
     return pin_compare(current, registry).groupBy(action.alias("action"), "status").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
+def planned_registry(current: DataFrame, registry: DataFrame, replace: bool = False) -> DataFrame:
+    """The registry that recording would leave: unpinned keys are added, changed ones replaced only if asked to."""
+    new = current.select("key", F.struct("digest", F.col("n").cast("long").alias("n")).alias("_c"))
+    old = registry.select("key", F.struct("digest", F.col("n").cast("long").alias("n")).alias("_r"))
+    first, second = ("_c", "_r") if replace else ("_r", "_c")
+    return new.join(old, "key", "full").select("key", F.coalesce(first, second).alias("x")).select("key", "x.*")
+
+
 def interval_sanity(results: DataFrame, lo: str, hi: str, estimate: str) -> DataFrame:
     """Rows whose interval is inverted or misses its own estimate."""
     e = F.col(estimate)

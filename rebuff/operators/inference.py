@@ -136,7 +136,7 @@ def changepoint_effect(long: DataFrame, points: DataFrame, keys: Sequence[str])
 
 
 def autocorr_time(long: DataFrame, keys: Sequence[str], min_n: int = 8, lag_max: int = 100) -> DataFrame:
-    """First lag whose autocorrelation falls below 1/e, else the largest lag tried; NULL when flat.
+    """First lag whose autocorrelation falls below 1/e, else the largest lag tried, then ``censored``; NULL when flat.
     An agent's series (one value per day) is one array; the lags are dot products on it."""
     keys = list(keys)
     d = _series(long, keys).groupBy(*keys).agg(
@@ -151,7 +151,8 @@ def autocorr_time(long: DataFrame, keys: Sequence[str], min_n: int = 8, lag_max:
     below = F.filter(F.sequence(F.lit(1), F.col("_top")), lambda k: dot(
         F.slice("_x", F.lit(1), size - k), F.slice("_x", k + 1, size - k)) / F.col("_var") < float(np.e ** -1))
     ok = (F.col("n") >= min_n) & ~F.col("flat") & (F.col("_var") > 0)
-    return d.select(*keys, "n", F.when(ok, F.coalesce(F.get(below, F.lit(0)), F.col("_top"))).cast("double").alias("adaptation_time"))
+    return d.select(*keys, "n", F.when(ok, F.coalesce(F.get(below, F.lit(0)), F.col("_top"))).cast("double").alias("adaptation_time"),
+                    (ok & (F.size(below) == 0)).alias("censored"))
 
 
 def periodicity(long: DataFrame, keys: Sequence[str], min_n: int = 30) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rebuff.functions.expressions import row_mean, safe_div, unpivot
+from rebuff.functions.expressions import row_mean, safe_div
 
 ROBOTS_URL = 64
 MAX_ID = 2_147_483_647
@@ -37,9 +37,9 @@ def daily_rollup(log: DataFrame, robots_url: int = ROBOTS_URL) -> DataFrame:
 
 def daily_rollup_spread(log: DataFrame, approx: bool = False, robots_url: int = ROBOTS_URL) -> DataFrame:
     """Rollup plus distinct ip / domain / country / url. ``approx`` trades the exact Expand-based
-    distinct counts for one mergeable sketch per channel."""
-    count = F.approx_count_distinct if approx else F.count_distinct
-    spread = [count(F.col(c)).alias(n) for c, n in
+    distinct counts for one mergeable sketch per channel, in columns named ``approx_n_...``."""
+    count, prefix = (F.approx_count_distinct, "approx_") if approx else (F.count_distinct, "")
+    spread = [count(F.col(c)).alias(prefix + n) for c, n in
               (("h_i_id", "n_ip"), ("h_d_id", "n_dom"), ("h_ccode", "n_ctry"), ("h_u_id", "n_url"))]
     return _keys(log).groupBy("a_id", "date").agg(*_channels(robots_url), *spread)
 
@@ -184,13 +184,15 @@ def derived_signals(series: DataFrame) -> DataFrame:
 
 
 def column_parity(left: DataFrame, right: DataFrame, columns: list[str], tolerance: float = 2e-6) -> DataFrame:
-    """Largest absolute difference per column of two series aligned on (a_id, day)."""
+    """Largest absolute difference per column of two series aligned on (a_id, day). Rows are compared as they are
+    joined; only the one row of results is turned from wide to long."""
     keys = ["a_id", "day"]
-    a = unpivot(left, keys, columns, "feature", "x")
-    b = unpivot(right, keys, columns, "feature", "y")
-    diff = F.abs(F.col("x") - F.col("y"))
-    return (a.join(b, [*keys, "feature"], "full").groupBy("feature").agg(
-        F.max(diff).alias("max_abs_diff"), F.count(F.when(F.col("x").isNull() | F.col("y").isNull(), 1)).alias("unmatched"))
+    a = left.select(*keys, *[F.col(c).cast("double").alias(f"x_{c}") for c in columns])
+    b = right.select(*keys, *[F.col(c).cast("double").alias(f"y_{c}") for c in columns])
+    def pair(c):
+        x, y = F.col(f"x_{c}"), F.col(f"y_{c}")
+        return F.struct(F.lit(c).alias("feature"), F.max(F.abs(x - y)).alias("max_abs_diff"), F.count(F.when(x.isNull() | y.isNull(), 1)).alias("unmatched"))
+    return (a.join(b, keys, "full").agg(F.array(*[pair(c) for c in columns]).alias("p")).select(F.explode("p").alias("p")).select("p.*")
         .withColumn("verdict", F.when((F.col("unmatched") == 0) & (F.col("max_abs_diff") <= tolerance), "EXACT").otherwise("DIFF")))
 
 

@@ -68,17 +68,23 @@ def agent_profile(active: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def standardise(profiles: DataFrame, features: Sequence[str] = PROFILE) -> DataFrame:
     """Population-sd scaling by hand: the ML scaler divides by the sample sd."""
-    s = global_scaler(profiles, features)
-    return profiles.crossJoin(F.broadcast(s)).withColumns(
+    return _scaled(profiles, global_scaler(profiles, features), features)
+
+
+def _scaled(profiles: DataFrame, scaler: DataFrame, features: Sequence[str]) -> DataFrame:
+    return profiles.crossJoin(F.broadcast(scaler)).withColumns(
         {f"z_{f}": (F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}") for f in features}).drop(*[f"{a}_{f}" for a in "ms" for f in features])
 
 
-def strategy_mixture(profiles: DataFrame, k: int = 3, seed: int = 42, features: Sequence[str] = PROFILE):
-    """Full-covariance Gaussian mixture on standardised profiles: (model, profiles with component)."""
+def strategy_mixture(profiles: DataFrame, k: int = 3, seed: int = 42, features: Sequence[str] = PROFILE, starts: int = 5):
+    """Full-covariance Gaussian mixture on standardised profiles: (model, profiles with component). Fitting begins at
+    random, so the likeliest of ``starts`` models counts."""
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
     z = VectorAssembler(inputCols=[f"z_{f}" for f in features], outputCol="_vec").transform(materialize(standardise(profiles, features)))
-    model = GaussianMixture(featuresCol="_vec", k=k, seed=seed, predictionCol="component", probabilityCol="_prob").fit(z)
+    z = materialize(z, "vectors")
+    fitted = [GaussianMixture(featuresCol="_vec", k=k, seed=seed + s, predictionCol="component", probabilityCol="_prob").fit(z) for s in range(starts)]
+    model = max(fitted, key=lambda m: m.summary.logLikelihood)
     return model, model.transform(z).drop("_vec", "_prob")
 
 
@@ -115,6 +121,16 @@ def lifecycle_thirds(active: DataFrame) -> DataFrame:
     return active.withColumn("stage", F.when(i < F.floor(n / 3), "early").when(i < F.floor(2 * n / 3), "mid").otherwise("late"))
 
 
+def stage_components(model, profiles: DataFrame, stages: DataFrame, min_days: int = 60, features: Sequence[str] = PROFILE) -> DataFrame:
+    """``stages`` (profiles per agent and stage) with the component that the mixture of the whole ``profiles`` gives
+    them, on that mixture's scale. Agents with fewer active days than ``min_days`` over all stages have no stages worth comparing."""
+    from pyspark.ml.feature import VectorAssembler
+    w = Window.partitionBy("a_id", "label")
+    d = stages.withColumn("_days", F.sum("n_active").over(w)).where(F.col("_days") >= min_days).drop("_days")
+    d = _scaled(d, global_scaler(profiles, features), features)
+    return model.transform(VectorAssembler(inputCols=[f"z_{f}" for f in features], outputCol="_vec").transform(d)).drop("_vec", "_prob")
+
+
 def volume_volatility(active: DataFrame, keys: Sequence[str]) -> DataFrame:
     """CV, burst share and decorrelation time of log volume per agent."""
     keys = list(keys)
@@ -123,7 +139,7 @@ def volume_volatility(active: DataFrame, keys: Sequence[str]) -> DataFrame:
     a = d.groupBy(*keys).agg((F.max("_s") / (F.max("_m") + 1e-9)).alias("volume_cv"),
                              F.avg((F.col("hits") > F.col("_m") + 2 * F.col("_s")).cast("double")).alias("burst_frac"))
     t = I.autocorr_time(active.select(*keys, "i", F.log1p("hits").alias("value")), keys).drop("n")
-    return a.join(t.withColumnRenamed("adaptation_time", "volume_autocorr_time"), keys)
+    return a.join(t.withColumnsRenamed({"adaptation_time": "volume_autocorr_time", "censored": "volume_autocorr_censored"}), keys)
 
 
 def nonstationarity(active: DataFrame, features: Sequence[str] = TEST_FEATURES, keys: Sequence[str] = ("a_id", "label")) -> DataFrame:

@@ -125,7 +125,7 @@ BASE.update({
       SELECT s.*, avg(hits) OVER (PARTITION BY a_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS pre,
        avg(hits) OVER (PARTITION BY a_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS tail,
        max(hits) OVER (PARTITION BY a_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS look FROM sidx s)
-      WHERE n>=25 AND i>=5 AND i+1<n AND pre>=5 AND tail<0.5*pre AND look<pre AND (a_id,i) IN (SELECT (a_id,i) FROM scand) GROUP BY a_id""",
+      WHERE arm='abusive' AND n>=25 AND i>=5 AND i+1<n AND pre>=5 AND tail<0.5*pre AND look<pre AND (a_id,i) IN (SELECT (a_id,i) FROM scand) GROUP BY a_id""",
     "ids": "SELECT DISTINCT a_id FROM spanel",
 })
 for _g in (5, 11, 15, 16, 21):

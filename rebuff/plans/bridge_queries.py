@@ -210,5 +210,5 @@ _sql, _c = transfer_sql("qst")
 
 @query("placebo_transfer", _sql, TRANSFER_D, ctes=PT | _c)
 def _(v):
-    placebo = sample_to_size_of(E.placebo_deaths(v.sidx), v.deaths)
+    placebo = sample_to_size_of(E.placebo_deaths(v.sidx.where("arm = 'abusive'")), v.deaths)
     return B.transfer_summary(setup(v, placebo)[3], REPS)

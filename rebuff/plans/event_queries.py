@@ -67,13 +67,13 @@ def _(v):
 PD = {"pdeaths": """SELECT a_id, min(date) AS t_death, arg_min(pre,date) AS pre_vol, arg_min(tail,date) AS tail_vol FROM (SELECT s.*,
   avg(hits) OVER (PARTITION BY a_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS pre, avg(hits) OVER (PARTITION BY a_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS tail,
   max(hits) OVER (PARTITION BY a_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS look, sum(cblock) OVER (PARTITION BY a_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near
-  FROM sidx s) WHERE n>=25 AND i>=5 AND i+1<n AND pre>=5 AND tail<0.5*pre AND look<pre AND near<=0 AND (a_id,i) NOT IN (SELECT (a_id,i) FROM scand) GROUP BY a_id"""}
+  FROM sidx s) WHERE arm='abusive' AND n>=25 AND i>=5 AND i+1<n AND pre>=5 AND tail<0.5*pre AND look<pre AND near<=0 AND (a_id,i) NOT IN (SELECT (a_id,i) FROM scand) GROUP BY a_id"""}
 
 
 @query("placebo_deaths", "SELECT a_id, t_death, pre_vol, tail_vol, row_number() OVER (ORDER BY md5('42:'||a_id), a_id) AS draw FROM pdeaths", "pre_vol tail_vol", ctes=PD)
 def _(v):
     from rebuff.operators.populations import draw_order
-    return draw_order(E.placebo_deaths(v.sidx))
+    return draw_order(E.placebo_deaths(v.sidx.where("arm = 'abusive'")))
 
 
 PRES = {"pres": """SELECT a_id, arm, date AS event_date, date+5>pe AS censored, nx IS NULL AS gone, nx IS NULL OR nx>date+5 AS quiet5, nx IS NOT NULL AND nx>date+5 AS returned_after_quiet,

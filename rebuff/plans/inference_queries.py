@@ -149,7 +149,7 @@ def autocorr_sql(src: str, keys: str) -> dict[str, str]:
     return {f"{src}_c": f"SELECT *, value-avg(value) OVER (PARTITION BY {keys}) AS x, count(*) OVER (PARTITION BY {keys}) AS n FROM {src}",
             f"{src}_v": f"SELECT {keys}, max(n) AS n, sum(x*x) AS vr FROM {src}_c GROUP BY {keys}",
             f"{src}_ac": f"SELECT {ak}, b.i-a.i AS lag, sum(a.x*b.x) AS s FROM {src}_c a JOIN {src}_c b ON {on} AND b.i-a.i BETWEEN 1 AND 100 GROUP BY ALL",
-            f"{src}_a": f"""SELECT {keys}, n, CASE WHEN n>=8 AND NOT flat AND vr>0 THEN coalesce(min(lag) FILTER (s/vr<exp(-1)), least(n-1,100))::DOUBLE END AS adaptation_time
+            f"{src}_a": f"""SELECT {keys}, n, CASE WHEN n>=8 AND NOT flat AND vr>0 THEN coalesce(min(lag) FILTER (s/vr<exp(-1)), least(n-1,100))::DOUBLE END AS adaptation_time, n>=8 AND NOT flat AND vr>0 AND min(lag) FILTER (s/vr<exp(-1)) IS NULL AS censored
               FROM {src}_v JOIN {src}_f USING ({keys}) LEFT JOIN {src}_ac USING ({keys}) GROUP BY {keys}, n, flat, vr"""}
 
 

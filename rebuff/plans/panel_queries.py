@@ -179,15 +179,15 @@ def _(v):
     return P.feature_series(v.hits, v.url)
 
 
-@query("column_parity", """SELECT feature, max(abs(x-y)) AS max_abs_diff, count(*) FILTER (x IS NULL OR y IS NULL) AS unmatched,
-  CASE WHEN count(*) FILTER (x IS NULL OR y IS NULL)=0 AND max(abs(x-y))<=2e-6 THEN 'EXACT' ELSE 'DIFF' END AS verdict FROM
-  (SELECT a_id, day, 'p404' AS feature, p404 AS x, p404 AS y FROM seq14 UNION ALL
-   SELECT a_id, day, 'php', php, php+CASE WHEN a_id%7=0 THEN 0.001 ELSE 0 END FROM seq14 UNION ALL
-   SELECT a_id, day, 'html', html, html+1e-7 FROM seq14) GROUP BY 1""", "max_abs_diff")
+PARITY = " UNION ALL ".join(f"SELECT a_id, day, '{f}' AS feature, {f}::DOUBLE AS x, {f}" + {"php": "+CASE WHEN a_id%7=0 THEN 0.001 ELSE 0 END", "html": "+1e-7"}.get(f, "") + " AS y FROM seq14" for f in P.FEATURES)
+
+
+@query("column_parity", f"""SELECT feature, max(abs(x-y)) AS max_abs_diff, count(*) FILTER (x IS NULL OR y IS NULL) AS unmatched,
+  CASE WHEN count(*) FILTER (x IS NULL OR y IS NULL)=0 AND max(abs(x-y))<=2e-6 THEN 'EXACT' ELSE 'DIFF' END AS verdict FROM ({PARITY}) GROUP BY 1""", "max_abs_diff")
 def _(v):
     right = v.seq14.withColumns({"php": F.col("php") + F.when(F.col("a_id") % 7 == 0, 0.001).otherwise(0.0),
                                  "html": F.col("html") + 1e-7})
-    return P.column_parity(v.seq14, right, ["p404", "php", "html"])
+    return P.column_parity(v.seq14, right, P.FEATURES)
 
 
 @query("activity_summary", """SELECT a_id, label, count(*) AS n_active, min(day) AS first_day, max(day) AS last_day, max(day)-min(day)+1 AS lifespan_days

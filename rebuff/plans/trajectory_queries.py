@@ -80,6 +80,19 @@ def _(v):
     return C.agent_profile(C.lifecycle_thirds(v.active), ["a_id", "label", "stage"])
 
 
+STG = NC | {"sg": """SELECT *, ((a_id+CASE stage WHEN 'early' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END)%3)::INTEGER AS component FROM (SELECT DISTINCT a_id, label, stage FROM
+  (SELECT *, CASE WHEN i<n//3 THEN 'early' WHEN i<(2*n)//3 THEN 'mid' ELSE 'late' END AS stage FROM active))"""}
+
+
+@query("lifecycle_mix", """SELECT label, stage, count(*) AS n, avg((strategy='visible')::INT) AS visible, avg((strategy='evasive')::INT) AS evasive, avg((strategy='mimicry')::INT) AS mimicry
+  FROM sg JOIN pn USING (component) GROUP BY 1,2""", "visible evasive mimicry", ctes=STG)
+def _(v):
+    d = materialize(fixed_components(v))
+    turn = F.when(F.col("stage") == "early", 0).when(F.col("stage") == "mid", 1).otherwise(2)
+    stages = C.agent_profile(C.lifecycle_thirds(v.active), ["a_id", "label", "stage"]).withColumn("component", ((F.col("a_id") + turn) % 3).cast("int"))
+    return C.strategy_mix(stages, C.name_components(d), ["label", "stage"])
+
+
 VV = {"vl": "SELECT a_id, label, i, log_hits AS value FROM active"} | {k: x for k, x in kendall_sql("vl", "a_id,label").items() if k == "vl_f"} | autocorr_sql("vl", "a_id,label") | {
     "vv": """SELECT a_id, label, max(s)/(max(m)+1e-9) AS volume_cv, avg((hits>m+2*s)::INT) AS burst_frac FROM (SELECT *, avg(hits) OVER (PARTITION BY a_id,label) AS m, stddev_pop(hits) OVER (PARTITION BY a_id,label) AS s FROM active) GROUP BY 1,2"""}
 

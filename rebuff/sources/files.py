@@ -1,6 +1,8 @@
 """Readers and writers: request log, labelled series, panel store, id lists, results."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rebuff.operators.panel import FEATURES, MAX_ID, SERIES_COLUMNS
@@ -131,3 +133,43 @@ def profile_log(log: DataFrame, robots_url: int) -> DataFrame:
     for c in ("status", "method"):
         total = total.unionByName(one.groupBy(F.col(c).alias("item")).agg(F.sum("n").alias("value")).withColumns({"metric": F.lit(c), "at": F.lit(None).cast("timestamp")}))
     return total
+
+
+class RegistryChanged(RuntimeError):
+    """Another writer published a registry after this one was read."""
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The published pins (key, digest, n) and their version; nothing and 0 before the first."""
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at(path)):
+        return None, 0
+    names = [s.getPath().getName() for s in fs.listStatus(at(path))]
+    version = max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=0)
+    return (spark.read.schema("key string, digest string, n long").parquet(f"{path}/v{version}") if version else None), version
+
+
+def publish_registry(spark: SparkSession, registry: DataFrame, path: str, seen: int) -> int:
+    """Publishes ``registry`` as the version after ``seen``, the one that was read when it was planned; refused if any
+    other has been published since.
+
+    The rows are staged under a name of their own first. Then the version is claimed by a file that only one writer
+    can create, and the staged folder is renamed. Readers see a version whole or not at all, and no writer replaces
+    what another one published."""
+    if read_registry(spark, path)[1] != seen:
+        raise RegistryChanged(f"version {seen} of {path} is not the last any more")
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    registry.select("key", "digest", F.col("n").cast("long").alias("n")).write.parquet(staged)
+    fs, at = _file_system(spark, path)
+    try:
+        fs.create(at(f"{path}/_claim-v{seen + 1}"), False).close()
+    except Exception as e:
+        raise RegistryChanged(f"version {seen + 1} of {path} is taken") from e
+    if not fs.rename(at(staged), at(f"{path}/v{seen + 1}")):
+        raise OSError(f"{staged} could not be renamed")
+    return seen + 1

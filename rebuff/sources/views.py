@@ -156,7 +156,8 @@ class Views:
 
     @cached_property
     def deaths(self) -> DataFrame:
-        return events.persistent_deaths(self.sidx)
+        """Deaths of the bot arm: the population whose members may come back under another identity."""
+        return events.persistent_deaths(self.sidx.where("arm = 'abusive'"))
 
     # ---- feature series -------------------------------------------------------------------------
     @cached_property
