@@ -1,8 +1,10 @@
 """Identity bridges: who takes over when an agent goes silent."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rebuff.functions.expressions import draw, safe_div
@@ -103,24 +105,39 @@ def ip_bridge(ip: DataFrame, deaths: DataFrame, k: int = TOPK_IP) -> DataFrame:
 def date_window_stats(series: DataFrame, centres: DataFrame, days: int = WC) -> DataFrame:
     """Per (a_id, t): log1p volume, mean botness and observed days in [t-days, t) and [t, t+days).
 
-    A range join as an equi-join: a centre's window touches at most three cells of ``days`` days.
-    Agents that were silent keep zero volume.
+    An agent's days and its centres are one row each, at most one value per calendar day; windows are differences of
+    running sums at three looked-up places, so a centre costs the same whatever the window's length. Agents that
+    were silent keep zero volume.
     """
     def num(c):
         return F.datediff(F.col(c), F.lit("1970-01-01"))
-    c = centres.select("a_id", "t").distinct()
-    cell = F.explode(F.sequence(F.floor((num("t") - days) / days), F.floor((num("t") + days - 1) / days)))
-    s = series.select("a_id", "date", "hits", "b", F.floor(num("date") / days).alias("cell"))
-    j = c.withColumn("cell", cell).join(s, ["a_id", "cell"])
-    pre = (F.col("date") < F.col("t")) & (F.col("date") >= F.date_sub("t", days))
-    post = (F.col("date") >= F.col("t")) & (F.col("date") < F.date_add("t", days))
-    def side(cond, tag):
-        return [F.sum(F.when(cond, F.col("hits"))).alias(f"_v_{tag}"), F.avg(F.when(cond, F.col("b"))).alias(f"b_{tag}"), F.count(F.when(cond, 1)).alias(f"n_{tag}")]
-    a = j.groupBy("a_id", "t").agg(*side(pre, "pre"), *side(post, "post"))
-    zero = F.lit(0)
-    return c.join(a, ["a_id", "t"], "left").select(
-        "a_id", "t", *[F.log1p(F.coalesce(F.col(f"_v_{x}"), zero)).alias(f"v_{x}") for x in ("pre", "post")], "b_pre", "b_post",
-        *[F.coalesce(F.col(f"n_{x}"), zero).alias(f"n_{x}") for x in ("pre", "post")])
+    at = centres.select("a_id", num("t").alias("t")).distinct().groupBy("a_id").agg(F.collect_list("t").alias("t"))
+    own = series.join(centres.select("a_id").distinct(), "a_id", "left_semi").groupBy("a_id").agg(
+        F.collect_list(F.struct(num("date").alias("d"), F.col("hits").cast("double").alias("h"), F.col("b").cast("double").alias("b"))).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, stats = [], []
+            for k in range(batch.num_rows):
+                t, s = np.array(batch.column(1)[k].values, np.int64), batch.column(2)[k].values
+                d, h, x = (s.field(i).to_numpy(zero_copy_only=False) for i in range(3)) if s is not None else (np.empty(0), np.empty(0), np.empty(0))
+                order = np.argsort(d, kind="stable")
+                d, h, x = d[order], h[order], x[order]
+                known = np.isfinite(x)
+                sums = [np.concatenate(([0.0], np.cumsum(y))) for y in (np.nan_to_num(h), np.where(known, x, 0.0), known, np.ones(len(d)))]
+                lo, mid, hi = (np.searchsorted(d, y) for y in (t - days, t, t + days))
+                pre, post = ([y[to] - y[of] for y in sums] for of, to in ((lo, mid), (mid, hi)))
+                ids.append(np.full(len(t), k))
+                stats.append(np.stack([t, *pre, *post]))
+            if not ids:
+                continue
+            t, v0, b0, k0, n0, v1, b1, k1, n1 = np.concatenate(stats, axis=1)
+            def mean(total, count):
+                return pa.array(total / np.maximum(count, 1), pa.float64(), mask=count == 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(t.astype(np.int32)).cast(pa.date32()), pa.array(np.log1p(v0)), pa.array(np.log1p(v1)),
+                                              mean(b0, k0), mean(b1, k1), pa.array(n0.astype(np.int64)), pa.array(n1.astype(np.int64))], ["a_id", "t", "v_pre", "v_post", "b_pre", "b_post", "n_pre", "n_post"])
+    kind = centres.schema["a_id"].dataType.simpleString()
+    return at.join(own, "a_id", "left").mapInArrow(run, f"a_id {kind}, t date, v_pre double, v_post double, b_pre double, b_post double, n_pre long, n_post long")
 
 
 def observed_agents(series: DataFrame, min_days: int = MIN_DAYS) -> DataFrame:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 from collections import defaultdict
 
@@ -108,3 +109,19 @@ def test_samples_are_filters_on_a_rank(spark):
     assert sorted(order.values()) == list(range(1, 51))
     assert {r.a_id for r in R.seeded_sample(df, 7).collect()} == {a for a, k in order.items() if k <= 7}
     assert {r.g: r["count"] for r in R.stratified_sample(df, "g", 4).groupBy("g").count().collect()} == {0: 4, 1: 4}
+
+
+def test_window_stats_against_sums(spark):
+    rng = random.Random(8)
+    rows = sorted({(a, rng.randrange(60)): None for a in (1, 2, 3) for _ in range(30)})
+    rows = [(a, DAY + dt.timedelta(d), rng.randrange(9), rng.choice([None, rng.random()])) for a, d in rows]
+    series = spark.createDataFrame(rows + [(9, DAY, 1, 0.5)], "a_id long, date date, hits long, b double")
+    wanted = [(a, DAY + dt.timedelta(d)) for a in (1, 2, 3, 4) for d in (-20, 0, 5, 14, 30, 59, 90)]
+    got = {(r.a_id, r.t): r for r in B.date_window_stats(series, spark.createDataFrame(wanted * 2, "a_id long, t date")).collect()}
+    assert set(got) == set(wanted)
+    for (a, t), r in got.items():
+        for tag, lo, hi in (("pre", -14, 0), ("post", 0, 14)):
+            own = [x for x in rows if x[0] == a and lo <= (x[1] - t).days < hi]
+            b = [x[3] for x in own if x[3] is not None]
+            assert r[f"n_{tag}"] == len(own) and r[f"v_{tag}"] == pytest.approx(math.log1p(sum(x[2] for x in own)))
+            assert r[f"b_{tag}"] is None if not b else r[f"b_{tag}"] == pytest.approx(sum(b) / len(b))
