@@ -47,11 +47,14 @@ def daily_rollup_spread(log: DataFrame, approx: bool = False, robots_url: int =
 def daily_rollup_window(log: DataFrame, spans: DataFrame, robots_url: int = ROBOTS_URL) -> DataFrame:
     """Rollup of [lo, hi) per agent; ``spans`` is (a_id, lo, hi).
 
-    The overall date range filters the scan before anything moves (one-row broadcast); each agent's
-    own span is applied to the aggregated rows, so a hot agent's raw rows are never shuffled.
+    The overall date range, one row that the driver fetches first, is a literal filter on the log's own time column,
+    so it is pushed into the scan and prunes row groups and date partitions; each agent's own span is applied to
+    the aggregated rows, so a hot agent's raw rows are never shuffled.
     """
-    reach = spans.agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
-    near = _keys(log).crossJoin(F.broadcast(reach)).where("date >= _lo and date < _hi")
+    lo, hi = spans.agg(F.min("lo"), F.max("hi")).first()
+    kind = log.schema["h_ts"].dataType.simpleString()
+    inside = (F.col("h_ts") >= F.lit(lo).cast(kind)) & (F.col("h_ts") < F.lit(hi).cast(kind)) if lo is not None and hi is not None else F.lit(False)
+    near = _keys(log.where(inside))
     daily = near.groupBy("a_id", "date").agg(*_channels(robots_url))
     return daily.join(spans, "a_id").where("date >= lo and date < hi").drop("lo", "hi")
 
