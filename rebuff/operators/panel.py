@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rebuff.functions.expressions import row_mean, safe_div
+from rebuff.session import materialize
 
 ROBOTS_URL = 64
 MAX_ID = 2_147_483_647
@@ -163,9 +164,9 @@ def feature_series(log: DataFrame, url: DataFrame, robots_url: int = ROBOTS_URL)
         F.count_distinct(F.coalesce("h_i_id", F.lit(-1))).alias("n_ip"),
         F.count_distinct(F.coalesce("h_d_id", F.lit(-1))).alias("n_dom"), F.count_distinct("h_ccode").alias("n_ctry"))
     ext = extension_counts(log, url).drop("hits")
-    counts = base.join(ext, ["a_id", "date"])
+    counts = materialize(base.join(ext, ["a_id", "date"]), "counts")      # feeds calendar, zero days and values
     names = ["hits", "c200", "c404", "cblock", "c429", "robots", "hu", "n_ip", "n_dom", "n_ctry", "n_url", "html", "php", "folder"]
-    full = densify_calendar(counts, names).join(F.broadcast(panel_zero_days(base)), "date", "left_anti")
+    full = densify_calendar(counts, names).join(F.broadcast(panel_zero_days(counts)), "date", "left_anti")
     def share(c):
         return F.when(F.col("hits") > 0, F.col(c) / F.col("hits")).otherwise(F.lit(0.0))
     w = Window.partitionBy("a_id").orderBy("date")
