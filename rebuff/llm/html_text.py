@@ -7,7 +7,8 @@ labelled table is ``EXAMPLES``: small pages whose blocks carry their label as fi
 impurity, exact thresholds) is grown from it once per query and travels with the plan.
 
 Defined cases: null or empty html gives an empty text; broken or unclosed tags end with the page; unknown
-character references stay as they are; other columns pass through.
+character references stay as they are; a head without an end tag ends at the first tag that cannot stand in one;
+rows that repeat an id are treated one by one; an empty table gives no rows; only ``keep`` and the text are returned.
 """
 from __future__ import annotations
 
@@ -25,11 +26,16 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Tags, roles and class or id words of page furniture.
 FURNITURE_TAGS = set("nav aside footer form header menu dialog button select option".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search dialog alert form menu".split())
-FURNITURE_WORDS = set("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar side nav navbar navigation menu breadcrumb breadcrumbs "
-                      "footer header masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup share sharing social related "
-                      "recommended comment comments reply replies respond disqus form login search pagination pager widget copyright legal toolbar skip".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|"
-                    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
+FURNITURE_WORDS = set("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs "
+                      "footer header masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup share sharing related "
+                      "recommended comment comments reply replies respond disqus form login pagination pager widget copyright toolbar skip".split())
+#: Attributes: a quote opens a value only behind an equals sign, so an apostrophe in an unquoted value or an odd quote does not.
+_ATTRIBUTES = r"((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)"
+#: Comments; elements whose content is no text, empty if they close themselves (which scripts, styles and text areas cannot); a head,
+#: which ends at the latest before the first tag that cannot stand in one; declarations; tags.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:svg|template|object|iframe)\b[^>]*/>|<(script|style|noscript|template|svg|iframe|object|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|"
+                    r"<head\b[^>]*>(?:<(script|style|noscript)\b[^>]*>.*?</\2\s*>|.)*?(?:</head\s*>|(?=<(?!/?(?:base|link|meta|noscript|script|style|template|title)\b)[a-zA-Z])|\Z)|<[!?][^>]*>|"
+                    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)" + _ATTRIBUTES + r">", re.S | re.I)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 #: Names that tell of a layout with or without furniture, not of furniture: with-sidebar, no-comments.
@@ -71,6 +77,8 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int, bool]] = []     # tag, furniture, article
+    forms: list[list[int]] = []                 # first block, block behind the last, depth of the stack; still open
+    closed: list[list[int]] = []
     furniture = depth_a = 0
     article = item = para = seen = False       # para: a marked p is open; seen: there was an article or main
 
@@ -91,16 +99,16 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     for m in _TOKEN.finditer(page):
         add(page[at:m.start()])
         at = m.end()
-        tag = (m.group(3) or "").lower()
+        tag = (m.group(4) or "").lower()
         if not tag:
             continue
-        closing = bool(m.group(2))
+        closing = bool(m.group(3))
         if tag == "a":
             depth_a = max(0, depth_a - 1) if closing else depth_a + 1
         if tag == "br":
             parts.append(" ")
         if tag in INLINE:
-            if tag not in VOID and not closing and _marked(tag, m.group(4), False):
+            if tag not in VOID and not closing and _marked(tag, m.group(5), False):
                 flush()
                 furniture += 1
                 stack.append((tag, 1, article))
@@ -109,7 +117,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 furniture -= stack.pop()[1]
             continue
         flush()
-        para = tag == "p" and not closing and _marked(tag, m.group(4), article)
+        para = tag == "p" and not closing and _marked(tag, m.group(5), article)
         if tag in VOID or m.group(0).endswith("/>"):
             continue
         if closing:
@@ -117,6 +125,9 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 while stack:
                     name, own, was = stack.pop()
                     furniture -= own
+                    if forms and name == "form" and forms[-1][1] < 0 and forms[-1][2] == len(stack):
+                        forms[-1][1] = len(found)
+                        closed.append(forms.pop())
                     article = was
                     if name == tag:
                         break
@@ -128,8 +139,10 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 seen = True
                 stack = [(name, o if o == HARD else 0, was) for name, o, was in stack]
                 furniture = sum(o for _, o, _ in stack)
-            hard = _marked(tag, m.group(4), article, False)
-            own = HARD if hard else int(not main and _marked(tag, m.group(4), article))
+            hard = _marked(tag, m.group(5), article, False)
+            own = HARD if hard else int(not main and _marked(tag, m.group(5), article))
+            if tag == "form" and own:
+                forms.append([len(found), -1, len(stack)])
             stack.append((tag, own, article))
             furniture += own
             article = article or tag in ("article", "main")
@@ -137,6 +150,10 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     add(page[at:])
     flush()
     words = [len(b[0].split()) for b in found]
+    for start, end, _ in closed + [[f[0], len(found), 0] for f in forms]:
+        if 2 * sum(words[start:end]) > sum(words):     # a form around most of the page is its frame, and marks nothing
+            for b in found[start:end]:
+                b[2] -= HARD
     density = [min(1.0, b[1] / len(b[0])) for b in found]
     out = []
     for k, b in enumerate(found):
