@@ -34,11 +34,9 @@ _ISC = """Permission to use, copy, modify, and/or distribute this software for a
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
-#: Fixed values: (licence, text). Public licence texts and the notices by which files refer to them.
+#: Fixed values, with the texts above: (licence, text). Public licence texts and the notices by which files refer to them.
 KNOWN = [
-    ("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT),
-    ("BSD-2-Clause", _BSD + _BSD_END), ("BSD-3-Clause", _BSD + _BSD3 + _BSD_END),
-    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD + _BSD_END), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD + _BSD3 + _BSD_END),
+    ("MIT", _MIT), ("BSD-2-Clause", _BSD + _BSD_END), ("BSD-3-Clause", _BSD + _BSD3 + _BSD_END),
     ("ISC", _ISC.format(", provided that the above copyright notice and this permission notice appear in all copies")), ("0BSD", _ISC.format("")),
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "Released under the Apache License, Version 2.0."),
@@ -49,6 +47,18 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("ISC", "SPDX-License-Identifier: ISC"),
 ]
+#: The usual title lines of the short licences; each may also begin with "The".
+TITLES = {
+    "MIT": ["MIT License", "MIT License (MIT)", "MIT/X11 License", "Expat License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "BSD License"],
+    "ISC": ["ISC License", "ISC License (ISC)"], "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License"],
+}
+KNOWN += [(name, f"{the}{title}\n\n{text}") for name, text in KNOWN[:5] for title in TITLES[name] for the in ("", "The ")]
+#: Of a normalised text, a line that tells whose work it is: a mark twice, or a short line that ends with the name of a body. A line of a
+#: licence that happens to begin with the word goes on with what the second alternative excludes.
+_OWNER_LINE = (r"(?m)^copyright copyright\b.*$|^copyright (?!(?:holder|owner|notice|license|law|and|or|interest|statement)s?\b)(?:[^ \n]+ ){0,6}?"
+               r"(?:authors?|contributors?|developers?|maintainers?|team|project|foundation|inc|ltd|llc|gmbh|corp|corporation|affiliates)$")
 #: Equivalent spellings, as regular expressions over lower-case text.
 SPELLINGS = [("©|\\(c\\)", "copyright"), ("licence", "license"), ("organisation", "organization"), ("authorise", "authorize"), ("noninfringement|non infringement", "non-infringement"),
              ("copyright holders?|copyright owners?", "copyright holder"), ("https:", "http:"), ("per cent", "percent"), ("favour", "favor")]
@@ -64,15 +74,19 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(t, r"(?m)^ +| +$", "")
 
 
-def digest(lines: Column) -> Column:
-    """Digest of a normalised text; line breaks count as any white space. Null for an empty text."""
-    joined = F.trim(F.regexp_replace(lines, r"\s+", " "))
+def digest(lines: Column, wide: bool = False) -> Column:
+    """Digest of a normalised text; line breaks count as any white space. Null for an empty text. ``wide``: without
+    further owner lines, and with the spellings that a line break had taken apart. A whole text is looked up by both."""
+    joined = F.trim(F.regexp_replace(F.regexp_replace(lines, _OWNER_LINE, "") if wide else lines, r"\s+", " "))
+    if wide:
+        joined = F.regexp_replace(F.regexp_replace(joined, r"\bcopyright (?:holder|owner)s?\b", "copyright holder"), r"\bnon ?infringement\b", "non infringement")
     return F.when(joined != "", F.md5(F.encode(joined, "UTF-8")))
 
 
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license) of the given texts, or of ``KNOWN`` and ``DIGESTS``."""
-    rows = spark.createDataFrame(texts or KNOWN, "license string, text string").select("license", digest(normalised(F.col("text"))).alias("digest"))
+    form = normalised(F.col("text"))
+    rows = spark.createDataFrame(texts or KNOWN, "license string, text string").select("license", F.explode(F.array(digest(form), digest(form, True))).alias("digest"))
     if not texts:
         rows = rows.unionByName(spark.createDataFrame([(n, d) for n, ds in DIGESTS.items() for d in ds], "license string, digest string"))
     return rows.where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
@@ -84,7 +98,8 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
     k = broadcast_if_small(materialize(known.select(F.col("digest").alias("k_digest"), F.col("license")), "known"), 500_000)
     d = docs.select(F.col(key).alias("k"), text_key(F.col(text)).alias("text_key"), normalised(F.col(text)).alias("t"))
     d = d.withColumn("digest", digest(F.col("t"))).withColumn("lines", F.split("t", "\n", -1))
-    rows = d.select("k", "text_key", "digest", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("digest").alias("d"))), F.transform(
+    whole = F.transform(F.array("digest", digest(F.col("t"), True)), lambda x: F.struct(F.lit(True).alias("whole"), x.alias("d")))
+    rows = d.select("k", "text_key", "digest", F.explode(F.concat(whole, F.transform(
         F.filter("lines", lambda x: x != ""), lambda x: F.struct(F.lit(False).alias("whole"), F.md5(F.encode(x, "UTF-8")).alias("d"))))).alias("x"))
     rows = rows.select("k", "text_key", "digest", "x.whole", "x.d").join(k, F.col("d") == F.col("k_digest"), "left").where("whole or license is not null")
     out = rows.groupBy("k", "text_key").agg(F.first("digest", ignorenulls=True).alias("digest"), F.max(F.when(F.col("whole"), F.col("license"))).alias("license"),
