@@ -51,7 +51,7 @@ DG = DOSE | {"dga": "SELECT DISTINCT a_id, arm FROM dev"} | boot("dgb", "dga", "
   FROM dgr r JOIN dgm m ON m.arm=r.arm AND m.rep=r.rep GROUP BY 1,2"""}
 
 
-@query("cluster_bootstrap", """SELECT arm, n_events, gap, ci_lo, ci_hi FROM (SELECT arm, count(*) AS n_events, avg(d_o) FILTER (heavy)-avg(d_o) FILTER (NOT heavy) AS gap FROM dz GROUP BY 1)
+@query("cluster_bootstrap", """SELECT arm, n_events, gap, ci_lo, ci_hi FROM (SELECT arm, count(*) AS n_events, CASE WHEN count(*) FILTER (heavy)>=5 AND count(*) FILTER (NOT heavy)>=5 THEN avg(d_o) FILTER (heavy)-avg(d_o) FILTER (NOT heavy) END AS gap FROM dz GROUP BY 1)
   JOIN (SELECT arm, quantile_cont(stat,0.025) AS ci_lo, quantile_cont(stat,0.975) AS ci_hi FROM dgs GROUP BY 1) USING (arm)""", "gap ci_lo ci_hi", ctes=DG)
 def _(v):
     return I.dose_gap_bootstrap(I.dose_events(v.by_period().sobs))
@@ -222,7 +222,7 @@ def _(v):
 
 @query("dose_split", """SELECT arm, count(*) AS n_events, count(DISTINCT a_id) AS n_agents, count(*) FILTER (heavy) AS n_heavy, avg(d_o) FILTER (heavy) AS "dO_heavy", avg(d_o) FILTER (NOT heavy) AS "dO_light",
   avg(dvol) FILTER (heavy) AS dvol_heavy, avg(dvol) FILTER (NOT heavy) AS dvol_light, avg(retreat::INT) FILTER (heavy) AS retreat_heavy, avg(retreat::INT) FILTER (NOT heavy) AS retreat_light,
-  avg(d_o) FILTER (heavy)-avg(d_o) FILTER (NOT heavy) AS gap FROM dz GROUP BY 1""", "dO_heavy dO_light dvol_heavy dvol_light retreat_heavy retreat_light gap", ctes=DOSE)
+  CASE WHEN count(*) FILTER (heavy)>=5 AND count(*) FILTER (NOT heavy)>=5 THEN avg(d_o) FILTER (heavy)-avg(d_o) FILTER (NOT heavy) END AS gap FROM dz GROUP BY 1""", "dO_heavy dO_light dvol_heavy dvol_light retreat_heavy retreat_light gap", ctes=DOSE)
 def _(v):
     return I.dose_split(materialize(I.dose_events(v.by_period().sobs)))
 
@@ -241,7 +241,7 @@ ADJ = DOSE | {"a1": "SELECT arm, heavy::INT::DOUBLE AS h, pre_o AS p, pre_logvol
               "a5": "SELECT a.*, rh-g*rv AS r FROM a3 a JOIN a4 b ON b.arm=a.arm"}
 
 
-@query("adjusted_gap", "SELECT arm, count(*) AS n, sum(r*y1)/sum(r*r) AS adjusted_d_o, sum(r*y2)/sum(r*r) AS adjusted_retreat FROM a5 GROUP BY 1", "adjusted_d_o adjusted_retreat", ctes=ADJ)
+@query("adjusted_gap", "SELECT arm, count(*) AS n, CASE WHEN count(*)>=10 THEN sum(r*y1)/sum(r*r) END AS adjusted_d_o, CASE WHEN count(*)>=10 THEN sum(r*y2)/sum(r*r) END AS adjusted_retreat FROM a5 GROUP BY 1", "adjusted_d_o adjusted_retreat", ctes=ADJ)
 def _(v):
     return I.adjusted_gap(materialize(I.dose_events(v.by_period().sobs)))
 
@@ -253,7 +253,7 @@ CM = DOSE | {"cms": """SELECT arm, avg(pre_o) AS mo, avg(pre_logvol) AS mv, sqrt
              "cmb": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arm,id ORDER BY dist, lid) AS rn FROM cmp) WHERE rn=1 AND dist<=0.2"}
 
 
-@query("caliper_match", "SELECT arm, n_heavy, coalesce(n_matched,0) AS n_matched, matched_gap FROM (SELECT arm, count(*) FILTER (heavy) AS n_heavy FROM dz GROUP BY 1) LEFT JOIN (SELECT arm, count(*) AS n_matched, avg(y)-avg(ly) AS matched_gap FROM cmb GROUP BY 1) USING (arm)",
+@query("caliper_match", "SELECT arm, n_heavy, CASE WHEN ok THEN coalesce(n_matched,0) ELSE 0 END AS n_matched, CASE WHEN ok THEN matched_gap END AS matched_gap FROM (SELECT arm, count(*) FILTER (heavy) AS n_heavy, count(*) FILTER (heavy)>=10 AND count(*) FILTER (NOT heavy)>=10 AS ok FROM dz GROUP BY 1) LEFT JOIN (SELECT arm, count(*) AS n_matched, avg(y)-avg(ly) AS matched_gap FROM cmb GROUP BY 1) USING (arm)",
        "matched_gap", ctes=CM)
 def _(v):
     return I.caliper_match(I.dose_events(v.by_period().sobs))
