@@ -39,7 +39,14 @@ CHUNK_CHARS = 1 << 20
 CACHE = 400_000
 #: Number signs beyond decimal digits, which the class of word characters holds although they are no letters.
 _NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and unicodedata.category(c) in ("Nl", "No"))
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+").findall
+_RUNS = re.compile(r"[^\W\d_]+").findall
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+").findall
+
+
+def words_of(line: str) -> list[str]:
+    """Runs of letters. The long class is slow, so only runs that hold something else go through it."""
+    found = _RUNS(line)
+    return found if not found or "".join(found).isalpha() else [x for w in found for x in ([w] if w.isalpha() else _LETTERS(w))]
 
 
 def held_out(key: Column) -> Column:
@@ -120,7 +127,7 @@ def _finish(alpha: np.ndarray, start: np.ndarray, reach: np.ndarray, t: int, bet
 def train(texts: list[str], labels: list[int], n_labels: int, buckets: int = BUCKETS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(weights, transition): Adagrad on the conditional likelihood, in minibatches of lines."""
     vocabulary: dict[str, int] = {}
-    lines = [([vocabulary.setdefault(w, len(vocabulary)) for w in _WORD(line.lower())], y) for t, y in zip(texts, labels) for line in t.split("\n")]
+    lines = [([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(line.lower())], y) for t, y in zip(texts, labels) for line in t.split("\n")]
     lines = [x for x in lines if x[0]]
     rng = np.random.default_rng(seed)
     mixed = []
@@ -204,7 +211,7 @@ def predict(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] =
                 words, lengths, owner = [], [], []
                 for d, x in enumerate(texts):
                     for line in (x or "").lower().split("\n") if langs else ():
-                        found = _WORD(line)
+                        found = words_of(line)
                         if found:
                             words += found
                             lengths.append(len(found))
