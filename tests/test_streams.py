@@ -84,3 +84,10 @@ def test_sessions_over_batches(spark):
     got = {(r.a_id, r.first_date.isoformat(), r.n) for r in S.drain(S.quiet_sessions(stream), "sessions").collect()}
     assert got == {(1, "2024-01-01", 3), (2, "2024-01-01", 1), (2, "2024-01-21", 1), (1, "2024-01-22", 1)}
     assert spark.conf.get(S.LOCAL_MERGE) == setting
+
+
+def test_a_day_on_the_threshold_is_no_spike(spark):
+    """Mean 1 and deviation 2: the sixth day's 4 is the threshold itself, which running means miss by a last digit."""
+    rows = [(1, dt.date(2024, 1, 1) + dt.timedelta(days=k), x) for k, x in enumerate([0, 0, 5, 0, 0, 4, 0, 0, 0])]
+    stream, _ = source(spark, [rows], "a_id long, date date, cblock long")
+    assert S.drain(S.spike_alerts(stream), "spikes").count() == 0
