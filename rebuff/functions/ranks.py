@@ -12,8 +12,39 @@ EXACT_KENDALL = 33
 EXACT_U, EXACT_U_PRODUCT = 8, 1_000_000
 
 
+#: Series of up to this length are compared value by value, in blocks; longer ones are merged.
+SHORT, BLOCK = 2048, 256
+_LATER = np.triu(np.ones((BLOCK, BLOCK), bool), 1)
+
+
+def kendall_score(values: np.ndarray) -> int:
+    """S of one short series: blocks of ranks against all later ones. n^2 comparisons of small integers cost
+    less than n log n look-ups here."""
+    rank = np.unique(values, return_inverse=True)[1].astype(np.int16)
+    score = 0
+    for at in range(0, len(rank), BLOCK):
+        own, rest = rank[at:at + BLOCK, None], rank[None, at + BLOCK:]
+        within, later = own.T, _LATER[:len(own), :len(own)]
+        score += np.count_nonzero((own < within) & later) - np.count_nonzero((own > within) & later)
+        score += np.count_nonzero(own < rest) - np.count_nonzero(own > rest)
+    return int(score)
+
+
 def kendall_scores(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """S = concordant - discordant pairs of every series ``values[bounds[k]:bounds[k + 1]]`` against its order.
+    """S = concordant - discordant pairs of every series ``values[bounds[k]:bounds[k + 1]]`` against its order."""
+    sizes = np.diff(bounds)
+    score = np.zeros(len(sizes), np.int64)
+    for k in np.flatnonzero((sizes > 1) & (sizes <= SHORT)):
+        score[k] = kendall_score(values[bounds[k]:bounds[k + 1]])
+    long = np.flatnonzero(sizes > SHORT)
+    if len(long):
+        parts = [values[bounds[k]:bounds[k + 1]] for k in long]
+        score[long] = merged_scores(np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes[long]))))
+    return score
+
+
+def merged_scores(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """``kendall_scores`` of long series.
 
     All series are merged together, bottom up: at each level the right half of a block looks up how many values
     of its left half are smaller and larger. n log n steps take the place of n^2 pairs."""
