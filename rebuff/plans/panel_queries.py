@@ -27,7 +27,7 @@ def _(v):
 def _(v):
     path = scratch_path(v.spark, "series")
     files.write_labelled_series(v.series, path)
-    return files.read_labelled_series(v.spark, path, r"label=([a-z]+)/a_id=([0-9]+)/", 2, 1)
+    return files.read_labelled_series(v.spark, path)
 
 
 @query("panel_store", f"SELECT {PANEL} FROM panel")

@@ -2,7 +2,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rebuff.operators.panel import FEATURES, MAX_ID, SERIES_COLUMNS
@@ -50,10 +53,44 @@ def read_labelled_series(spark: SparkSession, path: str, pattern: str = r"([0-9]
     return typed.na.drop()
 
 
-def write_labelled_series(series: DataFrame, path: str) -> None:
-    """One folder per label and agent, headerless tab rows."""
-    (series.select("label", "a_id", *SERIES_COLUMNS).repartition("label", "a_id").sortWithinPartitions("label", "a_id", "day")
-     .write.partitionBy("label", "a_id").csv(path, sep="\t", header=False))
+def write_labelled_series(series: DataFrame, path: str, folders: int = 256) -> int:
+    """One headerless tab file ``<id>.<label>`` per agent and label, dealt over a fixed number of folders; returns how many.
+
+    Tasks write the files themselves, each under a hidden name first, so that nothing is left for the driver to move and
+    listing costs a few folders, not one per agent. A file's folder, name and bytes depend on its rows only: an attempt
+    that runs again replaces what an earlier one left."""
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in SERIES_COLUMNS])
+    rows = series.select(F.concat_ws(".", "a_id", "label").alias("name"), F.pmod(F.xxhash64("label", "a_id"), F.lit(folders)).alias("folder"), "day", line.alias("line"))
+    spread = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, root = fs.FileSystem.from_uri(path)
+        made: set[int] = set()
+        written = 0
+
+        def put(folder: int, name: str, lines: list[str]) -> None:
+            if folder not in made:
+                out.create_dir(f"{root}/{folder}", recursive=True)
+                made.add(folder)
+            hidden = f"{root}/{folder}/_{uuid.uuid4().hex}"
+            with out.open_output_stream(hidden, compression=None) as stream:
+                stream.write("".join(f"{x}\n" for x in lines).encode())
+            out.move(hidden, f"{root}/{folder}/{name}")
+        held: tuple[int, str, list[str]] | None = None
+        for b in batches:
+            for name, folder, row in zip(*(b.column(c).to_pylist() for c in ("name", "folder", "line"))):
+                if held is None or held[1] != name:
+                    if held is not None:
+                        put(*held)
+                        written += 1
+                    held = (folder, name, [])
+                held[2].append(row)
+        if held is not None:
+            put(*held)
+            written += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([written], pa.int64())})
+    done = rows.repartition(spread, "name").sortWithinPartitions("name", "day").select("name", "folder", "line").mapInArrow(write, "n long")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
