@@ -27,3 +27,26 @@ def test_sums_of_replicates(spark):
     a, b = ({(r.arm, r.cell, r.rep): (r._n, r.x, r.n_x) for r in d.select("arm", "cell", "rep", "_n", "x", "n_x").collect()} for d in (old, new))
     assert a == b and len(a) > 5000
     assert not any(word in new._jdf.queryExecution().optimizedPlan().toString() for word in ("Generate",))     # no weight is a row
+
+
+def test_one_md5_call_per_tail_length():
+    """A chunk's counters go through one vectorised md5, whatever the lengths of their block numbers; long ones still match hashlib."""
+    import hashlib
+
+    import numpy as np
+
+    from rebuff.functions import resample as R
+    calls, real = [], R.md5_digits
+    R.md5_digits = lambda blocks: calls.append(len(blocks)) or real(blocks)
+    try:
+        for head, tails, size in (("42:a", [":12", ":34"], 1), ("42:a", [":1", ":345"], 2), ("42:" + "x" * 45, [":123"], 1)):
+            calls.clear()
+            got = R.weights(head, tails, 2000)
+            assert len(calls) == size
+            steps = R.poisson_steps()
+            for k, t in enumerate(tails):
+                digits = [hashlib.md5(f"{head}:{b}{t}".encode()).hexdigest()[8 * j:8 * j + 8] for b in range(500) for j in range(4)]
+                assert got[k].tolist() == [sum(d >= s for s in steps) for d in digits]
+    finally:
+        R.md5_digits = real
+    assert np.uint8 == got.dtype
