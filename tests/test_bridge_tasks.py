@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rebuff.operators import bridges as B
+from rebuff.sources.views import Views
 
 
 def sizes(df):
@@ -54,3 +55,14 @@ def test_candidates_are_those_of_both_bridges(spark, monkeypatch, heavy):
     brute = {(d, a, "decoy") for d in (0, 3, 7) for a in urls if a != d and any(pop[u] <= 20 for u in urls.get(d, set()) & urls[a])}
     brute |= {(d, a, "ip") for d in (0, 3, 7) for a in ips if a != d and (ips[d] - unclean(d)) & ips[a]}
     assert set(got) == want == brute and len(got) == len(want) > 40
+
+
+def test_bot_deaths_without_the_stored_panel(spark, monkeypatch):
+    """The same deaths, and the agents' days in as many tasks as the line items need."""
+    monkeypatch.setattr(B, "TASK_ROWS", 1000, raising=False)
+    v = Views(spark, "/root/testdata/sf0.01")
+    got = v.lone_bot_deaths
+    assert "sidx" not in v.__dict__ and "hashpartitioning(a_id" in (plan := got._jdf.queryExecution().executedPlan().toString())
+    assert ", 60), REPARTITION_BY_NUM" in plan
+    want = {tuple(r) for r in v.bot_deaths.collect()}
+    assert {tuple(r) for r in got.collect()} == want and want
